@@ -1,0 +1,371 @@
+"""Each operator against a brute-force version, with odd inputs."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lexiweave.llm import decontaminate, embeddings, html, language, lines, packing, pii, queries, secrets, simhash, substrings
+from lexiweave.llm.common import Scratch
+from lexiweave.llm.components import connected_components, local_forest
+
+DATA = "/root/testdata/sf0.001"
+ODD = [(900001, None), (900002, ""), (900003, "   \n\n"), (None, "a text without an id and some more words to fill the row"), (900004, "x" * 30000), (900005, "tie tie tie tie tie tie"), (900005, "tie tie tie tie tie tie"), (900006, "word " * 20000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in ODD], real.schema)
+    from pyspark.sql import functions as F
+
+    return real.union(odd).withColumn("token", F.lit(1)).withColumn("shard", F.lit("x"))
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def empty(docs):
+    return docs.where("false")
+
+
+def by_text(rows):
+    return Counter(rows)
+
+
+def test_secrets(docs, rows):
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for i, t in rows:
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        want[i, hashlib.sha256(text.encode()).hexdigest(), *[sum(x[1] == k for x in spans) for k in range(3)]] += 1
+    assert Counter((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in got) == want
+    assert secrets.scan(empty(docs)).count() == 0
+
+
+def test_grammar_inference_finds_the_format_of_its_sample():
+    rng = random.Random(3)
+    key = lambda: "sk-" + "".join(rng.choice("0123456789abcdef") for _ in range(24))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(16, 24)))
+    model = secrets.Formats({0: [key() for _ in range(400)]}, [word() for _ in range(400)])
+    assert sum(model.accepts(key()) for _ in range(100)) >= 90
+    assert sum(model.accepts(word()) for _ in range(100)) == 0
+    assert len(model.kinds[0][0].states) < 40
+
+
+def components(n, links):
+    label = list(range(n))
+    while True:
+        new = label[:]
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base, base[:30] + rng.normal(size=(30, 16)) * 0.12, base[:10], base[:5] * 2]).astype(np.float32)
+    data = [(int(i), [float(v) for v in e]) for i, e in enumerate(x)]
+    n = len(data)
+    data += [(n, None), (n + 1, []), (n + 2, [0.0] * 16), (n + 3, [float("nan")] * 16), (n + 4, [float("inf")] + [1.0] * 15), (n + 5, [None] + [1.0] * 15), (n + 6, [1.0, 2.0]), (n + 7, [1.0, 2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = u @ u.T >= 0.95
+    links = [(i, j) for i, j in zip(*np.nonzero(hit)) if i != j]
+    label = components(n, links)
+    assert len(got) == len(data)
+    for i in range(n):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (hit[i].sum() - 1, label[i], label[i] == i)
+    assert all(got[n + k].n_links == 0 and got[n + k].kept for k in range(6))
+    assert got[n + 7].component_id == n + 6
+    assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embedding_tiles_prune_without_loss():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 32))
+    x = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.1, 0.3)])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {(int(a), int(b)) for i, j in embeddings.linked(x, x, 0.95) for a, b in zip(i, j)}
+    assert got == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.95)))}
+
+
+def test_packing_round_trip(docs, rows):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, with_ids=True).collect()
+    sequences = {}
+    for r in got:
+        ids = struct.unpack(f"<{r.length}I", r.ids)
+        assert r.ids_crc32 == zlib.crc32(r.ids) and 0 < r.length and r.offset + r.length <= 4096
+        sequences.setdefault(r.sequence_id, []).append((r.offset, ids, r.doc_id, r.start, r.doc_tokens))
+    stream = []
+    for s in sorted(sequences):
+        at = 0
+        for offset, ids, *_ in sorted(sequences[s]):
+            assert offset == at
+            at += len(ids)
+        assert at == 4096 or s == max(sequences)
+        stream += sorted(sequences[s])
+    texts, held = Counter(), []
+    for _, ids, doc, start, total in stream:
+        assert start == len(held)
+        held += ids
+        if len(held) == total:
+            texts[doc, tuple(held)] += 1
+            held = []
+    want = Counter((i, (*whole.encode(t, add_special_tokens=False).ids, 2)) for i, t in rows)
+    assert texts == want
+    assert packing.pack(empty(docs), path).count() == 0
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def pii_base(t):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+def test_pii(spark, docs, rows):
+    hard = [(1, "a@b.c_d@e.f.g x@y"), (2, "1" * 60000 + " " + "9 " * 30000), (3, "é4111 1111-1111 1111 +1 (319) 555-5132 1.2.3.4.5.6.7.8 001.02.3.255 256.1.1.1"), (4, "a" * 50000 + "@" + "b." * 30000), (5, "+1" + " " * 50000), (6, "\U0001f600 x@y.zz"), (7, "x@y.z\nx@y.z")]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(hard, "doc_id long, text string"))
+    got = pii.scan(df).collect()
+    text = lambda b: ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in b)
+    want = Counter((i, hashlib.sha256(text(pii_base(t)).encode()).hexdigest(), *[sum(x[1] == k for x in pii_base(t)) for k in range(4)]) for i, t in rows + hard)
+    assert Counter((r.doc_id, r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
+    assert pii.scan(empty(docs)).count() == 0
+
+
+def test_pii_patterns_find_what_no_rule_knows(spark):
+    seeds = [(k, f"Report {k}. Contact address: user{k}@mail.example.org today") for k in range(30)]
+    new = [(100, "Contact address: 55-AB1234 holds"), (101, "In chapter 12-345678 of a book")]
+    got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    assert got[100] == "id:17:26" and got[101] == ""
+
+
+def test_language(docs):
+    got = {}
+    for r in language.predictions(docs).collect():
+        got.setdefault(r.doc_id, r)
+    truth = {r.doc_id: r.lang for r in docs.where("doc_id < 900000").collect()}
+    held = [i for i in truth if got[i].held_out]
+    assert held and all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in truth)
+    assert sum(got[i].lang_pred == truth[i] for i in held) >= 0.9 * len(held)
+    assert got[900001].lang_pred == got[900002].lang_pred == got[900003].lang_pred == "und"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = {r.doc_id for r in language.keep_identified(docs).collect()}
+    assert set(truth) <= kept and not kept & {900001, 900002, 900003}
+    assert language.predictions(empty(docs)).count() == 0
+
+
+def test_lines(docs, rows):
+    got = {(r.doc_id, r.kept_sha256): r for r in lines.report(docs).collect()}
+    near = [(10**9 + k, " ".join(f"w{j if j != 7 * k else 900 + k}" for j in range(80))) for k in range(4)]
+    spark = docs.sparkSession
+    small = spark.createDataFrame(near, "doc_id long, text string")
+    assert [r.n_removed for r in lines.report(small).orderBy("doc_id").collect()] == [0, 1, 1, 1]
+    seen, sets, ranked = set(), [], sorted({(i, t) for i, t in rows if i is not None})
+    for i, t in ranked:
+        kept = []
+        for line in t.split("\n"):
+            norm = re.sub(r"\s+", " ", line).strip().lower()
+            w = norm.split(" ")
+            s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            if norm and (norm in seen or any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in sets if len(s) * 0.8 <= len(o) <= len(s) / 0.8)):
+                if norm not in seen:
+                    sets.append(s)
+                    seen.add(norm)
+                continue
+            kept.append(line)
+            if norm:
+                seen.add(norm)
+                sets.append(s)
+        assert (i, hashlib.sha256("\n".join(kept).encode()).hexdigest()) in got
+    out = lines.dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    assert lines.dedup(empty(docs)).count() == 0
+
+
+def simhash_of(text):
+    import xxhash
+
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(docs, rows):
+    got = simhash.near_duplicates(docs).collect()
+    prints = [simhash_of(t) for _, t in rows]
+    links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    label = components(len(prints), links)
+    least = {}
+    for k, (i, _) in zip(label, rows):
+        least[k] = min(x for x in (least.get(k), i) if x is not None) if i is not None or k in least else None
+    want = Counter((i, f"{p:016x}", least[k]) for (i, _), p, k in zip(rows, prints, label))
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and kept.count() == len({k for k in label})
+    assert simhash.near_duplicates(empty(docs)).count() == 0
+
+
+def test_vantage_trees_find_every_pair():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    near = base[:600].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)
+    x = np.unique(np.concatenate([base, near]))
+    masks, reach = simhash.blocks(4)
+    got = set()
+    for m in masks:
+        for u, v in simhash.close_pairs(x, x, m, reach, 4):
+            got |= set(zip(u.tolist(), v.tolist()))
+    d = np.bitwise_count(x[:, None] ^ x[None, :])
+    i, j = np.nonzero((d <= 4) & (d > 0))
+    assert got == set(zip(x[i].tolist(), x[j].tolist()))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(200)] + [(500, k) for k in range(501, 700)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)]
+    want = components(1400, links)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()}
+    real = {n for a, b in links if a != b for n in (a, b)}
+    assert set(got) == real
+    assert len({(want[n], got[n]) for n in real}) == len({want[n] for n in real}) == len({got[n] for n in real})
+    nodes, label = local_forest(*map(np.array, zip(*links)))
+    assert [want[n] for n in nodes.tolist()] == label.tolist()
+
+
+def test_html_blocks():
+    page = """<html><head><title>T</title></head><body><nav>Menu</nav><header>Site</header><div class="cookie-notice">Accept</div>
+    <article><h1>Head &amp;  line</h1><p>One<br>two <b>bold</b><p>Three&nbsp;four<script>var a = "</p>";</script><form>Name</form>
+    <aside>Side</aside><div id="comments"><p>Great post</p></div></article><div class="ad">Buy</div><footer>&copy; 2020</footer></body></html>"""
+    assert [t for _, t in html.blocks(page)] == ["Head & line", "One two bold", "Three four"]
+    assert html.blocks(None) == [] and html.blocks("") == [] and html.blocks("<") == [("", "<")]
+    assert [t for _, t in html.blocks("<p>a" * 3000)] == ["a"] * 3000
+
+
+def test_html_template_slots(spark):
+    page = lambda k: f"""<body><div class="top">Shop</div><div class="wrap"><div class="left">Sale now on</div>
+    <div class="text"><p>{'story %d ' % k * 40}</p><p>{'more %d ' % k * 30}</p></div></div></body>"""
+    data = [(k, f"https://h.example/{k}", page(k)) for k in range(6)] + [(7, None, None), (8, "https://z.example/", ""), (9, "https://one.example/", "<p>alone</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    for k in range(6):
+        assert got[k].text == f"{('story %d ' % k * 40).strip()}\n{('more %d ' % k * 30).strip()}"
+    assert got[7].text == got[8].text == "" and got[9].text == "alone" and got[9].n_chars == 5
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_html_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    from html import unescape
+
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        parts = [" ".join(unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside)]
+        assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
+def test_substrings(spark, docs, rows):
+    known = [(i, t) for i, t in rows if i is not None]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated(docs).where("doc_id is not null").collect())
+    first, want = {}, Counter()
+    for i, t in sorted(known):
+        b = t.encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in known:
+        b = t.encode()
+        gone = bytearray(len(b) + 1)
+        end = 0
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                for j in range(max(k, end), k + 50):
+                    gone[j] = 1
+                end = k + 50
+        runs = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        want[i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()] += 1
+    assert got == want
+    assert substrings.repeated(empty(docs)).count() == 0
+
+
+def test_substrings_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 300)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    part = text(120)
+    data = [(k, text(rng.randint(0, 200)) + (part[rng.randint(0, 30) : rng.randint(60, 120)] if k % 2 else "") + text(50)) for k in range(60)]
+    got = {r.doc_id: r.n_removed for r in substrings.repeated(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()}
+    for i, t in data:
+        gone = {j for k in range(len(t) - 49) for j in range(k, k + 50) if any(t[k : k + 50] in u for o, u in data if o < i)}
+        assert got[i] == len(gone)
+
+
+def test_decontamination(spark, docs, rows):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text")
+    extra = spark.createDataFrame([(7001, "tie tie"), (7002, None), (7003, "!!"), (None, "text without an id"), (7004, "word"), (7004, "word")], "item_id long, text string")
+    bench = bench.union(extra)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, bench).collect())
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for r in bench.collect():
+        w = split(r.text)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).add(r.item_id)
+    want = Counter()
+    for i, t in rows:
+        w, hit, items = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                found = windows.get(tuple(w[k : k + n]))
+                if found:
+                    hit |= set(range(k, k + n))
+                    items |= found
+        ids = sorted(str(x) for x in items if x is not None)
+        want[i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)] += 1
+    assert got == want
+    assert decontaminate.contamination(empty(docs), bench).count() == 0
+
+
+def test_decontamination_in_blocks(docs, spark, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    one = decontaminate.contamination(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
+    assert Counter(decontaminate.contamination(docs, bench).collect()) == Counter(one)
+
+
+def test_decontamination_cuts_spans(spark):
+    item = " ".join(f"item{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"Keep this, {item.upper()} and that. " + "tail " * 20), (2, item), (3, "clean text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {1: "Keep this,  and that. " + "tail " * 20, 3: "clean text"}
