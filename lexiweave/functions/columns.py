@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from . import text as T
 
@@ -40,25 +41,25 @@ def is_well_formed(c) -> Column:
     return F.is_valid_utf8(F.col(c).cast("string"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def ids_length(texts: pd.Series) -> pd.Series:
     """Code points of the complete description sequence a text begins with, or 0."""
     return texts.map(lambda t: None if t is None else T.ids_length(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(data: pd.Series) -> pd.Series:
     """FNV-1a 64 of binary as sixteen hexadecimal digits."""
     return data.map(lambda b: None if b is None else T.hex64(T.fnv1a64(bytes(b))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_lenient(data: pd.Series) -> pd.Series:
     """Binary as text, one U+FFFD per malformed byte."""
     return data.map(lambda b: None if b is None else T.decode_lenient(bytes(b)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def escape(texts: pd.Series) -> pd.Series:
     """Text on one printable line."""
     return texts.map(lambda t: None if t is None else T.escape(t))

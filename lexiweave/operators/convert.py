@@ -112,7 +112,7 @@ def convert(c: str | Column, plan, force: str | None = None) -> Column:
     stages = [*(converter.normalization or ()), *converter.chain]
     tiers = [tier(p) for p in stages] if converter.segmentation is None else ["udf"]
     if force == "udf" or "udf" in tiers:
-        return _program_udf(converter, "convert", "string")(c)
+        return _program_udf(converter, "convert", T.StringType())(c)
     native = c
     for p, t in zip(stages, tiers):
         native = _native(native, p, t)
@@ -121,8 +121,8 @@ def convert(c: str | Column, plan, force: str | None = None) -> Column:
     # A stage can write an operator itself, so values count as texts do.
     risky = any("⿰" <= x <= "⿿" for p in stages for leaf in p.leaves() for v in leaf.default.values() for x in v)
     if risky:
-        return _program_udf(converter, "convert", "string")(c)
-    return F.coalesce(_program_udf(converter, "convert", "string")(F.when(has_ids(c), c)), native)
+        return _program_udf(converter, "convert", T.StringType())(c)
+    return F.coalesce(_program_udf(converter, "convert", T.StringType())(F.when(has_ids(c), c)), native)
 
 
 def segment(c: str | Column, plan) -> Column:
@@ -135,7 +135,7 @@ def segment(c: str | Column, plan) -> Column:
             held.append(Scanner(plan))
         return pd.Series([None if t is None else held[0].segment(t) for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "array<string>")(c)
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(c)
 
 
 def inspect(c: str | Column, plan) -> Column:
@@ -151,9 +151,9 @@ def candidates(c: str | Column, plan) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or (v := plan.exact(t)) is None else list(v) for t in texts], dtype=object)
 
-    return F.pandas_udf(run, "array<string>")(c)
+    return F.pandas_udf(run, T.ArrayType(T.StringType()))(c)
 
 
 def register(spark, name: str, plan) -> None:
     """A converter as a SQL function."""
-    spark.udf.register(name, _program_udf(as_converter(plan), "convert", "string"))
+    spark.udf.register(name, _program_udf(as_converter(plan), "convert", T.StringType()))

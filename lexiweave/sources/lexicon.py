@@ -158,7 +158,8 @@ class Lexicons:
             try:
                 made = self.readers[kind](data, file)
             except LexiconError as e:
-                raise type(e)(f"{file}: {e}") from e
+                kind_of = next(c for c in type(e).__mro__ if c.__module__ == LexiconError.__module__)
+                raise kind_of(f"{file}: {e}") from e
             self.known.setdefault((kind, file), made)
         return self.known[kind, file]
 
