@@ -23,15 +23,38 @@ from .common import Scratch, arrow_rows, texts
 
 SEQUENCE = 4096
 END_ID = 2
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+#: Entries of each half of a worker's two tables of ids; the older half goes when the newer is full.
+CACHE_WORDS = 250_000
+
+
+class _Halves:
+    """A table that forgets what was not asked for lately."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, key: bytes) -> bytes | None:
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class WordCache:
     """Ids of a text from cached ids of its white-space separated parts.
 
     The vocabulary's normaliser and splitter never join across white space, so
-    the parts can be encoded alone; the ids equal those of the whole text."""
+    the parts can be encoded alone; the ids equal those of the whole text.  A
+    part that is letters, or letters and one comma or full stop, splits further
+    without the normaliser: its letters are one word of the model."""
 
     def __init__(self, model: str):
         import os
@@ -40,22 +63,46 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[bytes, bytes] = {}
+        self.parts, self.words = _Halves(), _Halves()
+        self.marks = {m: self._whole(m) for m in ".,"}
+        # The byte-level alphabet: printable bytes stand for themselves, others follow from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, text: str) -> bytes:
+        got = self.words.get(text)
+        if got is None:
+            raw = text.lower().encode().decode("latin-1").translate(self.alphabet)
+            got = np.array([t.id for t in self.tokenizer.model.tokenize(raw)], "<u4").tobytes()
+            self.words.put(text, got)
+        return got
+
+    def _part(self, part: bytes) -> bytes:
+        got = self.parts.get(part)
+        if got is None:
+            text = part.decode()
+            stem = text[:-1] if text[-1] in self.marks else text
+            # Latin letters have one composed form and one lower case.
+            if stem.isalpha() and max(stem) <= "\xff":
+                got = self._word(stem) if stem is text else self._word(stem) + self.marks[text[-1]]
+            else:
+                got = self._whole(text)
+            if len(part) <= 64:
+                self.parts.put(part, got)
+        return got
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         parts = text.encode("utf-8", "replace").split()
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([known[p] for p in parts])
+        got = list(map(self.parts.new.get, parts))
+        if None in got:
+            found = self._part
+            got = [found(p) if g is None else g for p, g in zip(parts, got)]
+        return b"".join(got)
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
