@@ -170,11 +170,11 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` and its hit runs: ``_n_words``, ``_runs`` (flat word positions) and
-    ``_items`` (ids as strings).  One narrow pass for each block of the benchmark."""
+    """``docs`` and its hit runs: ``__n_words``, ``__runs`` (flat word positions) and
+    ``__items`` (ids as strings).  One narrow pass for each block of the benchmark."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    out = docs.select("*", F.lit(None).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_runs"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select("*", F.lit(None).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__runs"), F.array().cast("array<string>").alias("__items"))
     schema = out.schema
     for automaton in _blocks(benchmark, window):
         shared = spark.sparkContext.broadcast(automaton)
@@ -183,7 +183,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
             model = shared.value
             for batch in batches:
                 n_words, all_runs, all_items = [], [], []
-                old_runs, old_items = batch.column("_runs").to_pylist(), batch.column("_items").to_pylist()
+                old_runs, old_items = batch.column("__runs").to_pylist(), batch.column("__items").to_pylist()
                 for k, text in enumerate(batch.column("text")):
                     ws = words_of(text.as_py())
                     runs, items = model.scan(ws)
@@ -201,8 +201,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     got = scanned(texts(docs), benchmark, window)
-    hit = F.expr("aggregate(transform(_runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
-    return got.select("doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (F.size("_runs") > 0).alias("contaminated"))
+    hit = F.expr("aggregate(transform(__runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
+    return got.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), (F.size("__runs") > 0).alias("contaminated"))
 
 
 def cut_words(text: str, runs: list[int]) -> str:
@@ -226,10 +226,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     def cut(batches):
         at = names.index("text")
         for batch in batches:
-            runs = batch.column("_runs").to_pylist()
+            runs = batch.column("__runs").to_pylist()
             text = batch.column("text")
             new = [cut_words(text[k].as_py(), r) if r else text[k].as_py() for k, r in enumerate(runs)]
-            keep = [k for k, (r, n) in enumerate(zip(runs, batch.column("_n_words").to_pylist())) if sum(r[1::2]) - sum(r[::2]) <= max_coverage * n]
+            keep = [k for k, (r, n) in enumerate(zip(runs, batch.column("__n_words").to_pylist())) if sum(r[1::2]) - sum(r[::2]) <= max_coverage * n]
             arrays = [batch.column(i) for i in range(batch.num_columns)]
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).take(pa.array(keep, pa.int64()))

@@ -149,13 +149,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit("").alias("_lang"), F.lit(0.0).alias("_score")).schema
+    schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
             got = [predictor.predict(letters(t.as_py())) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -171,11 +171,11 @@ def predictions(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(base.where(~held & F.col("doc_id").isNotNull()))
     got = identify(base.select("doc_id", "text"), model)
-    return got.select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return got.select("doc_id", held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that have no letter or no language above ``min_score``."""
     names = docs.columns
     model = train(docs.select("doc_id", "text", "lang"))
-    return identify(docs, model).where((F.col("_lang") != "und") & (F.col("_score") >= min_score)).select(*[F.col(f"`{c}`") for c in names])
+    return identify(docs, model).where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*[F.col(f"`{c}`") for c in names])

@@ -64,14 +64,14 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with the signed 64-bit ``_fp``; a narrow pass."""
+    """``docs`` with the signed 64-bit ``__fp``; a narrow pass."""
     arrow_rows(docs.sparkSession)
-    schema = docs.select("*", F.lit(0).cast("long").alias("_fp")).schema
+    schema = docs.select("*", F.lit(0).cast("long").alias("__fp")).schema
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "") for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "__fp"])
 
     return docs.mapInArrow(run, schema)
 
@@ -200,21 +200,23 @@ def links(distinct: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
 
 
 def classes(marked: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
-    """fp, component_id for each distinct ``_fp`` of a written (doc_id, _fp)."""
-    distinct = scratch.write(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first")), "distinct")
+    """fp, component_id, row for each distinct ``__fp`` of a written (doc_id, __row, __fp):
+    the component's smallest doc_id and the row that holds it."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+    distinct = scratch.write(marked.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "distinct")
     roots = connected_components(links(distinct, max_bits, scratch), scratch)
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return joined.join(least, "root").select("fp", "component_id")
+    least = joined.groupBy("root").agg(F.min("first").alias("first"))
+    return joined.select("fp", "root").join(least, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.row").alias("row"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each document."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(fingerprints(texts(docs)).select("doc_id", "_fp"), "fingerprints")
-    ids = classes(marked, max_bits, scratch)
-    out = marked.join(ids.withColumnRenamed("fp", "_fp"), "_fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    numbered = fingerprints(texts(docs)).select("doc_id", F.monotonically_increasing_id().alias("__row"), "__fp")
+    marked = scratch.write(numbered, "fingerprints")
+    out = marked.join(classes(marked, max_bits, scratch).withColumnRenamed("fp", "__fp"), "__fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -222,7 +224,6 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     doc_id (one row of it, should the id repeat); columns as they were."""
     scratch = Scratch(docs.sparkSession, "simhash")
     names = docs.columns
-    marked = scratch.write(fingerprints(docs), "fingerprints")
-    ids = classes(marked.select("doc_id", "_fp"), max_bits, scratch)
-    first = marked.join(ids.withColumnRenamed("fp", "_fp"), "_fp").where("doc_id <=> component_id")
-    return first.dropDuplicates(["component_id"]).select(*[F.col(f"`{c}`") for c in names])
+    marked = scratch.write(fingerprints(docs).withColumn("__row", F.monotonically_increasing_id()), "fingerprints")
+    kept = classes(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "__row", "__fp"), max_bits, scratch)
+    return marked.join(kept.select(F.col("row").alias("__row")).distinct(), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
