@@ -7,6 +7,7 @@ executor costs a re-read, never a recomputation of what came before.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans, which it does once
+    the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written by one operator call; ``drop`` removes those no longer read."""
 
@@ -32,10 +40,12 @@ class Scratch:
         self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the frame that reads it back."""
+        """Write ``df`` once and return the frame that reads it back; shuffle
+        files of the plan that made it can go."""
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        free(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

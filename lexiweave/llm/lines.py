@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
 A line's tokens are its five-word shingles (a shorter line is one token), so a
-token rarely stands in unrelated lines.  Tokens are ordered by rarity, taken
-from a count sketch over every line of the corpus, then by hash.  Lines that
+token rarely stands in unrelated lines.  Tokens are ordered by the rarity of
+their first word, taken from a count sketch over every line of the corpus.  Lines that
 share no token of their prefixes cannot be similar; of those that do, the
 length and positional filters leave the pairs whose Jaccard similarity is
 computed.  A line goes if an earlier line, in order of doc_id and position, is
@@ -14,7 +14,7 @@ line meets one line of each token it shares; only those that this leaves
 unmatched meet the rest.
 
 Results for odd input: null text counts as empty and stays null; blank lines
-always stay; lines are compared lower-cased with white space joined; rows that
+always stay; lines are compared lower-cased and trimmed, words end at spaces; rows that
 repeat an id and a text keep the same lines; an empty table stays empty.
 """
 
@@ -35,8 +35,8 @@ SKETCH_BITS = 14
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), pos, norm, k1, k2 of each line that is not blank."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = base.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    norm = cut.select("doc_id", "th", "pos", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("norm")).where("norm <> ''")
+    cut = base.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "line"))
+    norm = cut.select("doc_id", "th", "pos", F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")).alias("norm")).where("norm <> ''")
     return norm.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("line"), "norm").alias("k2"))
 
 
@@ -46,15 +46,40 @@ def _shingles(words: str) -> Column:
 
 
 def _sketch(lines: DataFrame) -> np.ndarray:
-    """Counts of the corpus' shingles by the leading bits of their hashes."""
-    words = lines.select(F.split("norm", " ").alias("w")).select(F.explode(_shingles("w")).alias("h"))
-    got = words.groupBy(F.shiftrightunsigned("h", 64 - SKETCH_BITS).cast("int").alias("cell")).count().collect()
+    """Counts of the corpus' words by the leading bits of their hashes."""
+    words = lines.select(F.explode(F.split("norm", " ")).alias("w"))
+    got = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).cast("int").alias("cell")).count().collect()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in got:
         counts[r["cell"]] = min(r["count"], (1 << 20) - 1)
     return counts
 
 
+def _prefixes(lines: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
+    """doc_id, th, pos, k1, k2, most and least (bounds of the number of tokens) and
+    heads: (token, i) of the rarest tokens, i a lower bound of a token's rank.
+
+    A token's place in the order is that of its first word: rarity, then hash.
+    Tokens with one first word tie, so the prefix is cut between different first
+    words, and only its tokens are hashed as a whole."""
+    table = F.lit(counts)
+    key = lambda h: F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
+    base = lines.select("doc_id", "th", "pos", "k1", "k2", F.split("norm", " ").alias("w"))
+    base = base.withColumn("most", F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1)))
+    base = base.withColumn("words", F.transform(F.slice("w", F.lit(1), F.col("most")), lambda w: F.xxhash64(w)))
+    base = base.withColumn("keys", F.transform("words", key))
+    base = base.withColumn("sorted", F.sort_array("keys"))
+    base = base.withColumn("ranks", F.array_distinct("sorted"))
+    base = base.withColumn("head", F.expr(f"slice(ranks, 1, cast(most - ceil({t!r} * most - 1e-9) + 1 as int))"))
+    # Where no first word of the prefix repeats, its places are looked up; else all places are gone through.
+    plain = F.expr("size(filter(slice(sorted, 1, size(head) + 1), k -> k <= element_at(head, -1))) = size(head)")
+    looked = "transform(head, (k, r) -> named_struct('i', r, 'at', cast(array_position(keys, k) as int)))"
+    passed = "transform(filter(sequence(1, most), i -> keys[i - 1] <= element_at(head, -1)), i -> named_struct('i', cast(array_position(head, keys[i - 1]) - 1 as int), 'at', i))"
+    base = base.withColumn("spots", F.when(plain, F.expr(looked)).otherwise(F.expr(passed)))
+    heads = F.expr(f"transform(spots, s -> named_struct('token', xxhash64(slice(w, s.at, {SHINGLE})), 'i', s.i))")
+    return base.select("doc_id", "th", "pos", "k1", "k2", "most", F.size("ranks").alias("least"), F.array_distinct(heads).alias("heads"))
+
+
 def _need(t: float, a: str, b: str) -> str:
     """Common tokens that two sets of sizes a and b need."""
     return f"ceil({t / (1 + t)!r} * ({a} + {b}) - 1e-9)"
@@ -65,16 +90,11 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     document that loses a line."""
     t = similarity
     lines = _lines(docs)
-    counts = _sketch(lines)
-    hashed = lines.select("doc_id", "th", "pos", "k1", "k2", F.split("norm", " ").alias("w")).select("doc_id", "th", "pos", "k1", "k2", _shingles("w").alias("h"))
-    table = F.lit(counts)
-    keys = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(table, F.shiftrightunsigned(x, 64 - SKETCH_BITS).cast("int")), 43).bitwiseOR(x.bitwiseAND(F.lit((1 << 43) - 1)))))
-    prefix = hashed.select("doc_id", "th", "pos", "k1", "k2", F.size("h").alias("n"), keys.alias("keys"))
-    prefix = prefix.select("doc_id", "th", "pos", "k1", "k2", "n", F.expr(f"slice(keys, 1, cast(n - ceil({t!r} * n - 1e-9) + 1 as int))").alias("keys"))
+    prefix = _prefixes(lines, _sketch(lines), t)
     # One row for each different line, standing for its first place.
-    first = prefix.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
+    first = prefix.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"), F.first("most").alias("most"), F.first("least").alias("least"), F.first("heads").alias("heads"), F.count("*").alias("copies"))
     different = scratch.write(first.withColumn("id", F.monotonically_increasing_id()), "different")
-    tokens = different.select("id", "n", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p"), F.posexplode("keys").alias("i", "token"))
+    tokens = different.select("id", "most", "least", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p"), F.explode("heads").alias("h")).select("id", "most", "least", "d", "p", "h.token", "h.i")
     lead = tokens.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("lines")).where("lines > 1")
     shared = scratch.write(tokens.join(lead, "token"), "shared")
     # The token sets of the lines that share a token, for verification.
@@ -91,10 +111,11 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
 
     leading = shared.where("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
     matched = scratch.write(similar(leading), "matched")
-    left = shared.join(matched, "id", "left_anti").select("token", F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("i").alias("x_i"), F.col("d").alias("x_d"), F.col("p").alias("x_p"))
-    rest = shared.select("token", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("i").alias("y_i"), F.col("d").alias("y_d"), F.col("p").alias("y_p"), "lead")
-    fits = f"""least(x_n, y_n) >= {t!r} * greatest(x_n, y_n) - 1e-9
-        and 1 + least(x_n - x_i, y_n - y_i) - 1 >= {_need(t, 'x_n', 'y_n')}"""
+    side = lambda df, s: df.select("token", "lead", *[F.col(c).alias(f"{s}_{n}") if n else F.col(c).alias(s) for c, n in (("id", ""), ("most", "most"), ("least", "least"), ("i", "i"), ("d", "d"), ("p", "p"))])
+    left = side(shared.join(matched, "id", "left_anti"), "x").drop("lead")
+    rest = side(shared, "y")
+    fits = f"""least(x_most, y_most) >= {t!r} * greatest(x_least, y_least) - 1e-9
+        and least(x_most - x_i, y_most - y_i) >= {_need(t, 'x_least', 'y_least')}"""
     later = "(y_d is null or y_d < x_d or y_d <=> x_d and y_p <= x_p) and x <> y and y <> lead and x <> lead"
     more = left.join(rest, "token").where(later).where(fits).select("x", "y").distinct()
     near = matched.union(similar(more)).distinct().withColumn("near", F.lit(True))
@@ -105,21 +126,21 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
 
 
 def _marked(docs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    drop = scratch.write(removals(docs, scratch, similarity).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("drop").alias("_drop")), "drop")
+    drop = scratch.write(removals(docs, scratch, similarity).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop")), "drop")
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.withColumn("_key", th).join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(_drop, i)), '\\n')")
-    return out.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept))
+    out = docs.withColumn("__key", th).join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(__drop, i)), '\\n')")
+    return out.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that repeat or nearly repeat an earlier one."""
     names = docs.columns
     out = _marked(docs, Scratch(docs.sparkSession, "lines"), similarity)
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    return out.select(*[F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 for each document."""
     out = _marked(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "lines"), similarity)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")), 256).alias("kept_sha256"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_removed"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))

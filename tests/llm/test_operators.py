@@ -191,7 +191,7 @@ def test_lines(docs, rows):
     for i, t in ranked:
         kept = []
         for line in t.split("\n"):
-            norm = re.sub(r"\s+", " ", line).strip().lower()
+            norm = line.strip(" \t\r\x0b\x0c").lower()
             w = norm.split(" ")
             s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
             if norm and (norm in seen or any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in sets if len(s) * 0.8 <= len(o) <= len(s) / 0.8)):
