@@ -283,6 +283,18 @@ def test_html_template_slots(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_keeps_every_section(spark):
+    page = lambda k: f"""<body><div class="top">Shop</div><article><h1>Title {k}</h1><div class="lead">{f'lead {k} ' * 35}</div>
+    <div class="body">{f'body {k} ' * 65}</div></article></body>"""
+    short = lambda k: f"<body><article><h1>Title {k}</h1><p>{f'words {k} ' * 9}</p></article></body>"
+    data = [(k, f"https://many.example/{k}", page(k)) for k in range(4)] + [(10 + k, f"https://short.example/{k}", short(k)) for k in range(2)]
+    data += [(20, "https://one.example/", page(20)), (21, "https://copies.example/a", short(21)), (22, "https://copies.example/b", short(21))]
+    got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    whole = lambda k: [f"Title {k}", f"lead {k} " * 34 + f"lead {k}", f"body {k} " * 64 + f"body {k}"]
+    assert all(got[k] == whole(k) for k in range(4)) and got[20] == ["Shop", *whole(20)]
+    assert all(got[i] == [f"Title {k}", (f"words {k} " * 9).strip()] for i, k in ((10, 0), (11, 1), (21, 21), (22, 21)))
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
