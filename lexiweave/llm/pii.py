@@ -1,7 +1,8 @@
 """Personal data: fixed rules, then bootstrapped contextual extraction.
 
 Everything here is DataFrame and SQL functions.  The rules' hits are seeds.  The
-two words in front of a seed are a lexical pattern.  Patterns and the values
+two tokens in front of a seed, words or single marks, are a lexical pattern; a
+value that goes on the word before it has none.  Patterns and the values
 that follow them form a graph whose scores are computed in turn: a pattern's
 score is the share of all its occurrences in the corpus that lead to a value,
 weighted by the value's score; a value that no rule knows scores as the chance
@@ -27,7 +28,8 @@ from .common import Scratch, texts
 LEAST_VALUES = 5
 ROUNDS = 3
 CONFIDENT = 0.8
-#: Code points before a value in which its two context words are sought.
+#: Code points before a value in which its two context tokens are sought first; if
+#: they do not lie there whole, all of the text before is read.
 CONTEXT = 64
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,6 +38,9 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier that no rule knows: up to six letters, then five or more digits, letters and dashes.
 UNKNOWN = r"(?<![A-Za-z0-9@._+-])[A-Za-z]{0,6}-?[0-9][A-Za-z0-9-]{4,40}+(?![A-Za-z0-9@._-])"
+#: Tokens of patterns: words and single marks.
+WORD = r"\p{L}\p{M}\p{N}_"
+TOKEN = rf"[{WORD}]++|[^\s{WORD}]"
 KINDS = ("email", "ip", "card", "phone", "id")
 
 _BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -81,10 +86,15 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(of: str) -> Column:
-    """pattern, value, start, stop of each span: the pattern is its two words in front."""
-    before = f"substring(text, cast(greatest(x.start - {CONTEXT}, 0) as int) + 1, cast(x.start - greatest(x.start - {CONTEXT}, 0) as int))"
-    return F.expr(f"""transform({of}, x -> named_struct('pattern', lower(concat_ws(' ',
-        slice(split(trim(regexp_replace({before}, '[\\\\s]+', ' ')), ' '), -2, 2))), 'value', lower(x.value), 'start', x.start, 'stop', x.stop))""".replace("slice(split(", "slice(concat(array('', ''), split(").replace("), -2, 2)", ")), -2, 2)"))
+    """pattern, value, start, stop of each span: the pattern is its two tokens in front."""
+    near = f"substring(text, cast(greatest(x.start - {CONTEXT}, 0) as int) + 1, cast(least(x.start, {CONTEXT}) as int))"
+    words = lambda t: f"regexp_extract_all({t}, r'{TOKEN}', 0)"
+    whole = f"transform({of}, x -> named_struct('x', x, 'near', {near}, 'w', {words(near)}))"
+    # The first token of a window inside the text may be the rest of a longer one.
+    whole = f"transform({whole}, c -> if(size(c.w) < 3 and c.x.start > {CONTEXT}, named_struct('x', c.x, 'near', c.near, 'w', {words('substring(text, 1, cast(c.x.start as int))')}), c))"
+    glued = rf"c.near rlike r'[{WORD}]\z' and c.x.value rlike r'\A[{WORD}]'"
+    pattern = f"if(size(c.w) < 2 or ({glued}), '', lower(array_join(slice(c.w, -2, 2), ' ')))"
+    return F.expr(f"transform({whole}, c -> named_struct('pattern', {pattern}, 'value', lower(c.x.value), 'start', c.x.start, 'stop', c.x.stop))")
 
 
 def _digest(column: str) -> Column:
@@ -92,10 +102,15 @@ def _digest(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, s -> concat_ws(':', {names}, s.start, s.stop)), ',')")
 
 
+def _pairs() -> Column:
+    """The patterns at each place of a text, in order."""
+    return F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> lower(concat(a, ' ', b)))")
+
+
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, total: how often each pattern occurs in the whole corpus."""
-    words = texts(docs).select(F.split(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), " ").alias("w"))
-    pairs = words.select(F.explode(F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> concat(a, ' ', b))")).alias("pattern"))
+    words = texts(docs).select(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w"))
+    pairs = words.select(F.explode(_pairs()).alias("pattern"))
     return pairs.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
@@ -103,7 +118,7 @@ def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """The patterns whose score after the last round is above CONFIDENT."""
     seeds = found.select(F.explode("seeds").alias("c")).select("c.pattern", "c.value", F.lit(1.0).alias("seed"))
     others = found.select(F.explode("others").alias("c")).select("c.pattern", "c.value", F.lit(0.0).alias("seed"))
-    edges = seeds.union(others).where("pattern like '% %' and pattern not like ' %'").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = seeds.union(others).where("pattern <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = scratch.write(edges, "edges")
     wide = scratch.write(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= LEAST_VALUES).select("pattern"), "patterns")
     if wide.isEmpty():

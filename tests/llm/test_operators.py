@@ -166,6 +166,16 @@ def test_pii_patterns_find_what_no_rule_knows(spark):
     assert got[100] == "id:17:26" and got[101] == ""
 
 
+def test_pii_patterns_of_glued_values(spark):
+    labels = ["id:{}", 'key = "{}"', "Owner <{}>", "see [{}]", "x" * 80 + " no. {}"]
+    seeds = [(k, f"Report {k} has {labels[k % 5].format(f'user{k}@mail.example.org')} today") for k in range(150)]
+    new = [(200 + k, f"Then {x.format('12-345678')} holds") for k, x in enumerate(labels)] + [(300, "In chapter 12-345678 of a book")]
+    got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    for i, t in new:
+        at = t.index("12-345678")
+        assert got[i] == (f"id:{at}:{at + 9}" if i < 300 else "")
+
+
 def test_language(docs):
     got = {}
     for r in language.predictions(docs).collect():
