@@ -7,7 +7,7 @@ that follow them form a graph whose scores are computed in turn: a pattern's
 score is the share of all its occurrences in the corpus that lead to a value,
 weighted by the value's score; a value that no rule knows scores as the chance
 that one of its patterns is right.  After ``ROUNDS`` rounds the patterns above
-``CONFIDENT`` mark the identifiers behind them, kind ``id``.
+``CONFIDENT`` mark the next token behind them, whatever its shape, kind ``id``.
 
 Match positions come from splitting the text at the matches and summing lengths
 in code points.  Quantifiers are possessive where that cannot change a match,
@@ -36,8 +36,10 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: An identifier that no rule knows: up to six letters, then five or more digits, letters and dashes.
-UNKNOWN = r"(?<![A-Za-z0-9@._+-])[A-Za-z]{0,6}-?[0-9][A-Za-z0-9-]{4,40}+(?![A-Za-z0-9@._-])"
+#: An identifier that no rule knows and that patterns learn from: letters, then five or more digits, letters and dashes.
+UNKNOWN = r"(?<![A-Za-z0-9@._+-])[A-Za-z]*+-?[0-9][A-Za-z0-9-]{4,}+(?![@_]|\.[A-Za-z0-9@_-])"
+#: What a trusted pattern marks: the next token, whatever its shape, without closing marks.
+NEXT = r"\A[+#-]?[\p{L}\p{N}_](?:[^\s\x22\x27<>()\[\]{},;]*[\p{L}\p{M}\p{N}_])?"
 #: Tokens of patterns: words and single marks.
 WORD = r"\p{L}\p{M}\p{N}_"
 TOKEN = rf"[{WORD}]++|[^\s{WORD}]"
@@ -134,16 +136,34 @@ def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     return scored.where(F.col("trust") >= CONFIDENT).select("pattern")
 
 
+def _marked(found: DataFrame, trusted: DataFrame) -> DataFrame:
+    """row, added: the tokens behind trusted patterns that no rule's span meets."""
+    places = found.select("row", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w")).select("row", F.posexplode(_pairs()).alias("at", "pattern"))
+    places = places.join(trusted, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    df = places.join(found.select("row", "text", "base"), "row")
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?:{TOKEN})\s*+"), F.lit(0))
+    df = df.withColumn("pieces", pieces).withColumn("lead", F.length(F.regexp_extract("text", r"\A\s*+", 0)).cast("long"))
+    # The token behind place k starts where its first k + 2 pieces end.
+    step = """named_struct('done', k + 2, 'off', a.off + length(array_join(slice(pieces, a.done + 1, k + 2 - a.done), '')),
+        'out', array_append(a.out, a.off + length(array_join(slice(pieces, a.done + 1, k + 2 - a.done), ''))))"""
+    kind = "struct<done:int,off:bigint,out:array<bigint>>"
+    walk = f"aggregate(at, cast(named_struct('done', 0, 'off', lead, 'out', array()) as {kind}), (a, k) -> cast({step} as {kind}), a -> a.out)"
+    spans = f"transform({walk}, o -> named_struct('start', o, 'kind', 4, 'stop', o + length(regexp_extract(substring(text, cast(o as int) + 1), r'{NEXT}', 0))))"
+    df = df.select("row", "base", F.expr(spans).alias("s"))
+    apart = """filter(s, x -> x.stop > x.start and not exists(base, b -> b.start < x.stop and x.start < b.stop)
+        and not exists(s, y -> y.start < x.start and x.start < y.stop))"""
+    return df.select("row", F.expr(apart).alias("added"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id for each document."""
     scratch = Scratch(docs.sparkSession, "pii")
     df = spans(docs)
     plain = "transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'stop', x.stop))"
-    df = df.select("doc_id", F.expr(plain).alias("base"), _contexts("base").alias("seeds"), _contexts("unknown").alias("others"))
+    df = df.select("doc_id", "text", F.expr(plain).alias("base"), _contexts("base").alias("seeds"), _contexts("unknown").alias("others"))
     found = scratch.write(df.withColumn("row", F.monotonically_increasing_id()), "spans")
     trusted = _trusted(docs, found, scratch)
-    new = found.select("row", F.explode("others").alias("c")).select("row", "c.pattern", F.struct(F.col("c.start").alias("start"), F.lit(4).alias("kind"), F.col("c.stop").alias("stop")).alias("s"))
-    added = new.join(trusted, "pattern", "left_semi").groupBy("row").agg(F.collect_list("s").alias("added"))
+    added = scratch.write(_marked(found, trusted), "added")
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint>>)")
     out = found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
     out = out.withColumn("every", F.array_sort(F.concat("base", "added")))

@@ -176,6 +176,16 @@ def test_pii_patterns_of_glued_values(spark):
         assert got[i] == (f"id:{at}:{at + 9}" if i < 300 else "")
 
 
+def test_pii_patterns_mark_values_of_any_shape(spark):
+    seeds = [(k, f"Report {k}. Contact address: user{k}@mail.example.org today") for k in range(40)]
+    values = ["55-AB1234.", "CUSTOMER-12345", "A1" * 50, "JSMITH", "no.12/7_x,", "É\U0001f600x1"]
+    new = [(100 + k, f"  \U0001f600 Contact\n address: \t{v} holds") for k, v in enumerate(values)]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    for (i, t), v in zip(new, values):
+        assert got[i].spans == f"id:{t.index(v)}:{t.index(v) + len(v.rstrip('.,'))}" and got[i].n_id == 1
+    assert all(got[i].n_id == 0 for i, _ in seeds)
+
+
 def test_language(docs):
     got = {}
     for r in language.predictions(docs).collect():
