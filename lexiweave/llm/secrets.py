@@ -54,7 +54,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def shape(token: str) -> str:
     """A token over the automata's alphabet: hex letter, other lower, upper, digit, sign."""
-    return "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in token[:64])
+    return "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in token)
 
 
 class Automaton:

@@ -64,6 +64,15 @@ def test_grammar_inference_finds_the_format_of_its_sample():
     assert len(model.kinds[0][0].states) < 40
 
 
+def test_formats_score_whole_tokens():
+    rng = random.Random(5)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "ghijklmnopqrstuvwxyz"
+    model = secrets.Formats({0: [run(lower, 64) + run("0123456789", 30) for _ in range(300)]}, [run(lower, 94) for _ in range(300)])
+    assert model.accepts(run(lower, 64) + run("0123456789", 30)) and not model.accepts(run(lower, 94))
+    assert len(secrets.shape("a1" * 500)) == 1000
+
+
 def components(n, links):
     label = list(range(n))
     while True:
