@@ -40,8 +40,10 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: What could be a credential: a long token with digits and letters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What could be a credential: a token as long and of the signs that a labelled one may have.
+LEAST_LENGTH = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -52,6 +54,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the tokens that no rule's span meets, without full stops at
+    their end; of a token that one meets, the parts between dots."""
+    apart = lambda a, b: not any(s < b and a < e for s, _, e, _ in base)
+    out = []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.start(), m.start() + len(m[0].rstrip("."))
+        if end - start < LEAST_LENGTH:
+            continue
+        if apart(start, end):
+            out.append((start, end))
+        else:
+            out += [p.span() for p in PART.finditer(text, start, end) if apart(*p.span())]
+    return out
+
+
 def shape(token: str) -> str:
     """A token over the automata's alphabet: hex letter, other lower, upper, digit, sign."""
     return "".join("d" if c.isdigit() else "x" if c in "abcdef" else "l" if c.islower() else "U" if c.isupper() else c for c in token)
@@ -175,9 +193,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 spans.append([x for s, k, e, _ in base for x in (k, s, e)])
                 values.append([f"{k}{v}" for _, k, _, v in base])
-                free = [m for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
-                spots.append([x for m in free for x in m.span()])
-                tokens.append([m[0] for m in free])
+                free = candidates(text, base)
+                spots.append([x for span in free for x in span])
+                tokens.append([text[s:e] for s, e in free])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind), pa.array(values, pa.list_(pa.string())), pa.array(spots, kind), pa.array(tokens, pa.list_(pa.string()))], names=["doc_id", "base", "labelled", "spots", "tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id long, base array<long>, labelled array<string>, spots array<long>, tokens array<string>")
@@ -207,8 +225,6 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 base = [(s, k, e) for k, s, e in zip(flat[::3], flat[1::3], flat[2::3])]
                 added = []
                 for s, e, t in zip(spots[::2], spots[1::2], toks):
-                    if not (re.search("[0-9]", t) and re.search("[A-Za-z]", t)):
-                        continue
                     if t not in known:
                         if len(known) > 100_000:
                             known.clear()
