@@ -59,11 +59,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
-    """Hold Arrow batches to ``most`` rows, so long texts fit a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > most:
-        spark.conf.set(key, str(most))
+def arrow_rows(spark: SparkSession, most: int = 1000, size: int = 4 << 20) -> None:
+    """Hold Arrow batches to ``most`` rows and ``size`` bytes, so long texts fit a
+    Python worker.  The settings stay, as frames are planned when they are used."""
+    for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", most), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= limit:
+            spark.conf.set(key, str(limit))
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -1,83 +1,180 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
-A line's tokens are its five-word shingles (a shorter line is one token), so a
-token rarely stands in unrelated lines.  Tokens are ordered by the rarity of
-their first word, taken from a count sketch over every line of the corpus.  Lines that
-share no token of their prefixes cannot be similar; of those that do, the
-length and positional filters leave the pairs whose Jaccard similarity is
-computed.  A line goes if an earlier line, in order of doc_id and position, is
-equal to it or has a similarity of ``SIMILARITY`` or more.
+A line's tokens are its five-word shingles (a shorter line is one token), known
+by 58-bit hashes.  Tokens are ordered by rarity: the power of two of their own
+counts over every line of the corpus, from a count sketch of fixed size, then
+by hash.  Of two similar lines the longer has a token of its probe prefix in
+the index prefix of the shorter, so lines meet on those tokens alone; length
+and positional filters leave the pairs whose Jaccard similarity is computed on
+whole token sets.  A line goes if an earlier line, in order of doc_id and
+position, is equal to it or has a similarity of ``SIMILARITY`` or more.
 
-Equal lines are one line from the first shuffle on.  The join goes in two
-rounds, so that a group of near copies is never paired with itself: first each
-line meets one line of each token it shares; only those that this leaves
-unmatched meet the rest.
+Equal lines (128-bit hash) are one line from the first shuffle on.  The join
+goes in two rounds, so that a group of near copies is never paired with itself:
+first each line meets the first line of each token it shares; only those that
+this leaves unmatched meet the rest.  Tokens of one line drop out by count.
+
+Words are cut and hashed in Arrow batches; the joins are SQL.  The form in
+DataFrame functions alone cannot meet the limits (README has the figures).
 
 Results for odd input: null text counts as empty and stays null; blank lines
-always stay; lines are compared lower-cased and trimmed, words end at spaces; rows that
-repeat an id and a text keep the same lines; an empty table stays empty.
+always stay; lines are compared lower-cased and trimmed, words end at spaces, so
+very long texts and lines cost linear time; rows that repeat an id and a text
+keep the same lines, places of one id and position are not earlier than each
+other; a null doc_id counts as larger than all others; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, arrow_rows, texts
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Cells of the count sketch (a power of two).
-SKETCH_BITS = 14
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, norm, k1, k2 of each line that is not blank."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = base.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("pos", "line"))
-    norm = cut.select("doc_id", "th", "pos", F.trim(F.col("line"), F.lit(" \t\r\x0b\x0c")).alias("norm")).where("norm <> ''")
-    return norm.select("*", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit("line"), "norm").alias("k2"))
-
-
-def _shingles(words: str) -> Column:
-    """Sorted distinct shingle hashes of an array of words."""
-    return F.expr(f"sort_array(array_distinct(transform(sequence(1, greatest(size({words}) - {SHINGLE - 1}, 1)), i -> xxhash64(slice({words}, i, {SHINGLE})))))")
-
-
-def _sketch(lines: DataFrame) -> np.ndarray:
-    """Counts of the corpus' words by the leading bits of their hashes."""
-    words = lines.select(F.explode(F.split("norm", " ")).alias("w"))
-    got = words.groupBy(F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS).cast("int").alias("cell")).count().collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in got:
-        counts[r["cell"]] = min(r["count"], (1 << 20) - 1)
-    return counts
-
-
-def _prefixes(lines: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """doc_id, th, pos, k1, k2, most and least (bounds of the number of tokens) and
-    heads: (token, i) of the rarest tokens, i a lower bound of a token's rank.
-
-    A token's place in the order is that of its first word: rarity, then hash.
-    Tokens with one first word tie, so the prefix is cut between different first
-    words, and only its tokens are hashed as a whole."""
-    table = F.lit(counts)
-    key = lambda h: F.shiftleft(F.get(table, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
-    base = lines.select("doc_id", "th", "pos", "k1", "k2", F.split("norm", " ").alias("w"))
-    base = base.withColumn("most", F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1)))
-    base = base.withColumn("words", F.transform(F.slice("w", F.lit(1), F.col("most")), lambda w: F.xxhash64(w)))
-    base = base.withColumn("keys", F.transform("words", key))
-    base = base.withColumn("sorted", F.sort_array("keys"))
-    base = base.withColumn("ranks", F.array_distinct("sorted"))
-    base = base.withColumn("head", F.expr(f"slice(ranks, 1, cast(most - ceil({t!r} * most - 1e-9) + 1 as int))"))
-    # Where no first word of the prefix repeats, its places are looked up; else all places are gone through.
-    plain = F.expr("size(filter(slice(sorted, 1, size(head) + 1), k -> k <= element_at(head, -1))) = size(head)")
-    looked = "transform(head, (k, r) -> named_struct('i', r, 'at', cast(array_position(keys, k) as int)))"
-    passed = "transform(filter(sequence(1, most), i -> keys[i - 1] <= element_at(head, -1)), i -> named_struct('i', cast(array_position(head, keys[i - 1]) - 1 as int), 'at', i))"
-    base = base.withColumn("spots", F.when(plain, F.expr(looked)).otherwise(F.expr(passed)))
-    heads = F.expr(f"transform(spots, s -> named_struct('token', xxhash64(slice(w, s.at, {SHINGLE})), 'i', s.i))")
-    return base.select("doc_id", "th", "pos", "k1", "k2", "most", F.size("ranks").alias("least"), F.array_distinct(heads).alias("heads"))
+#: Cells of the count sketch, as a power of two; its size is fixed.
+SKETCH_BITS = 16
+_LAST = np.iinfo(np.int64).max
+#: Bits of a token; the bits above them hold its class of rarity.
+_BITS = np.uint64(58)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+class Tokens:
+    """Tokens of a batch of lines that are not blank, in order of the lines."""
+
+    def __init__(self, lines: list[str], keys: np.ndarray, shingle: int = SHINGLE):
+        x = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "replace") if lines else b"", np.uint8)
+        rng = np.random.default_rng(20_240_602)
+        table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        steps = rng.integers(1, 1 << 63, shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        ends = np.flatnonzero((x == 32) | (x == 10))
+        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
+        base = np.uint64(0x9E3779B97F4A7C15)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(table[x] * np.cumprod(np.full(len(x), base, np.uint64)), out=sums[1:])
+        back = np.cumprod(np.full(len(x) + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+        words = _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+        last = np.flatnonzero(x[ends] == 10)
+        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else np.empty(0, np.int64)
+        size = np.maximum(last - first + 2 - shingle, 1)
+        self.line = np.repeat(np.arange(len(last)), size)
+        at = np.arange(len(self.line)) - np.repeat(np.cumsum(size) - size, size) + first[self.line]
+        top = len(words) - 1
+        whole = reduce(np.add, (words[np.minimum(at + k, top)] * steps[k] for k in range(shingle))) if len(at) else np.empty(0, np.uint64)
+        short = (last - first + 1 < shingle)[self.line]
+        self.token = _mix(np.where(short, keys[self.line], whole)) >> (np.uint64(64) - _BITS)
+
+    def ordered(self, classes: np.ndarray | None, n: int):
+        """(tokens without repeats by line and order, ends of the lines)."""
+        token = self.token
+        if classes is not None:
+            token = token | classes[(token >> (_BITS - np.uint64(SKETCH_BITS))).astype(np.int64)].astype(np.uint64) << _BITS
+        order = np.lexsort((token, self.line))
+        token, line = token[order], self.line[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+        token = token[new] & ((np.uint64(1) << _BITS) - np.uint64(1))
+        return token.astype(np.int64), np.cumsum(np.bincount(line[new], minlength=n))
+
+
+def _read(batch: pa.RecordBatch, wanted: str | None = None):
+    """(row, position, normalised line) of a batch's lines that are not blank."""
+    places = batch.column(wanted).to_pylist() if wanted else None
+    for k, text in enumerate(batch.column("text")):
+        parts = text.as_py().lower().split("\n")
+        for p in range(len(parts)) if places is None else places[k]:
+            norm = parts[p].strip(" \t\r\x0b\x0c")
+            if norm:
+                yield k, p, norm
+
+
+def _keys(lines: list[str]) -> np.ndarray:
+    """Two 64-bit halves of each line's hash."""
+    import xxhash
+
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines), np.uint64).reshape(-1, 2)
+
+
+def _parts(batch: pa.RecordBatch, size: int = 1 << 21):
+    """Slices of a batch that hold about ``size`` bytes of text, one row at least."""
+    ends = np.cumsum([len(t) if t is not None else 0 for t in batch.column("text").cast(pa.binary()).to_pylist()] or [0])
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
+def _sketch(docs: DataFrame) -> np.ndarray:
+    """Class of rarity of each cell: the power of two of its count, over all lines."""
+
+    def run(batches):
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for part in _parts(batch):
+                lines = [x for _, _, x in _read(part)]
+                token = Tokens(lines, _keys(lines)[:, 0]).token
+                counts += np.bincount((token >> (_BITS - np.uint64(SKETCH_BITS))).astype(np.int64), minlength=len(counts))
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+
+    found = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = np.ones(1 << SKETCH_BITS, np.int64)
+    for r in found.collect():
+        counts[r["cell"]] = r["n"]
+    return np.minimum(np.log2(counts).astype(np.uint8), 63)
+
+
+def _lines(docs: DataFrame, classes: np.ndarray, t: float) -> DataFrame:
+    """k1, k2 (hash of a line), d, th (of its text), p, n (different tokens) and heads
+    (its probe prefix, rarest first)."""
+    kind = "k1 long, k2 long, d long, th long, p int, n int, heads array<long>"
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                rows = list(_read(part))
+                lines = [x for _, _, x in rows]
+                keys = _keys(lines)
+                token, ends = Tokens(lines, keys[:, 0]).ordered(classes, len(lines))
+                n = np.diff(np.concatenate([[0], ends]))
+                size = (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
+                begin = np.cumsum(size) - size
+                at = np.arange(int(size.sum())) - np.repeat(begin, size) + np.repeat(ends - n, size)
+                heads = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [size.sum()]]), pa.int32()), pa.array(token[at]))
+                row = pa.array([k for k, _, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), part.column("d").take(row), part.column("th").take(row), pa.array([p for _, p, _ in rows], pa.int32()), pa.array(n, pa.int32()), heads], names=["k1", "k2", "d", "th", "p", "n", "heads"])
+
+    return docs.mapInArrow(run, kind)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, h (all tokens) of the wanted lines: (id, d, th, p)."""
+    asked = wanted.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("p", "id"))).alias("asked"))
+    asked = asked.select("d", "th", F.col("asked.p").alias("places"), F.col("asked.id").alias("ids"))
+
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                lines = [x for _, _, x in _read(part, "places")]
+                token, ends = Tokens(lines, _keys(lines)[:, 0]).ordered(None, len(lines))
+                ids = [i for row in part.column("ids").to_pylist() for i in row]
+                h = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h], names=["id", "h"])
+
+    found = docs.join(asked, ["d", "th"]).select("text", "places", "ids").mapInArrow(run, "id long, h array<long>")
+    return found.dropDuplicates(["id"])
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -86,61 +183,71 @@ def _need(t: float, a: str, b: str) -> str:
 
 
 def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th, drop (positions of the lines that go, ascending) for each
-    document that loses a line."""
+    """d (doc_id, null as the largest), th (hash of the text) and drop (positions
+    of the lines that go, ascending) for each document that loses a line."""
     t = similarity
-    lines = _lines(docs)
-    prefix = _prefixes(lines, _sketch(lines), t)
+    arrow_rows(docs.sparkSession)
+    base = texts(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    lines = scratch.write(_lines(base, _sketch(base), t), "lines")
     # One row for each different line, standing for its first place.
-    first = prefix.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"), F.first("most").alias("most"), F.first("least").alias("least"), F.first("heads").alias("heads"), F.count("*").alias("copies"))
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "p", "th")).alias("at"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("heads").alias("heads"))
     different = scratch.write(first.withColumn("id", F.monotonically_increasing_id()), "different")
-    tokens = different.select("id", "most", "least", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p"), F.explode("heads").alias("h")).select("id", "most", "least", "d", "p", "h.token", "h.i")
-    lead = tokens.groupBy("token").agg(F.min("id").alias("lead"), F.count("*").alias("lines")).where("lines > 1")
-    shared = scratch.write(tokens.join(lead, "token"), "shared")
-    # The token sets of the lines that share a token, for verification.
-    wanted = different.join(shared.select("id").distinct(), "id", "left_semi").select("id", "k1", "k2", "at")
-    held = lines.join(wanted, ["k1", "k2"]).where("at.doc_id <=> doc_id and at.th = th and at.pos = pos").select("id", "at", F.split("norm", " ").alias("w"))
-    sets = scratch.write(held.select("id", "at", _shingles("w").alias("h")), "sets")
-    a, b = sets.select(F.col("id").alias("x"), F.col("at").alias("x_at"), F.col("h").alias("x_h")), sets.select(F.col("id").alias("y"), F.col("at").alias("y_at"), F.col("h").alias("y_h"))
-    both = "size(array_intersect(x_h, y_h))"
+    tokens = different.select("id", "n", F.col("at.d").alias("d"), F.col("at.p").alias("p"), F.posexplode("heads").alias("i", "token"))
+    # Of two lines the shorter holds the common token in its index prefix.
+    index = lambda n, i: f"{i} <= {n} - {_need(t, n, n)}"
+    held = tokens.select("token", F.expr(index("n", "i")).alias("own")).groupBy("token").agg(F.count("*").alias("held"), F.bool_or("own").alias("own"))
+    shared = scratch.write(tokens.join(held.where("held > 1 and own").select("token"), "token"), "shared")
+    places = shared.select("id").distinct().join(different.select("id", "at"), "id").select("id", "at.d", "at.th", "at.p")
+    sets = scratch.write(_sets(base, places), "sets")
+    fits = f"""least(x.n, y.n) >= {t!r} * greatest(x.n, y.n) - 1e-9
+        and 1 + least(x.n - 1 - x.i, y.n - 1 - y.i) >= {_need(t, 'x.n', 'y.n')}"""
+    earlier = "(y.d < x.d or y.d = x.d and y.p < x.p)"
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """id of the later line of each similar pair (x, y)."""
-        near = pairs.join(a, "x").join(b, "y").where(f"{both} >= {_need(t, 'size(x_h)', 'size(y_h)')}")
-        return near.select(F.when(F.col("x_at") > F.col("y_at"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
-
-    leading = shared.where("id <> lead").select(F.col("id").alias("x"), F.col("lead").alias("y")).distinct()
+        """id of the later line x of each similar pair (x, y)."""
+        a, b = sets.toDF("x", "x_h"), sets.toDF("y", "y_h")
+        near = pairs.distinct().join(a, "x").join(b, "y")
+        return near.where(f"size(array_intersect(x_h, y_h)) >= {_need(t, 'size(x_h)', 'size(y_h)')}").select(F.col("x").alias("id")).distinct()
+
+    pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
+    lead = shared.groupBy("token").agg(F.min(F.struct("d", "p", "id", "n", "i")).alias("f")).select("token", "f.*")
+    leading = shared.alias("x").join(lead.alias("y"), "token").where(earlier).where(fits).select(*pair)
     matched = scratch.write(similar(leading), "matched")
-    side = lambda df, s: df.select("token", "lead", *[F.col(c).alias(f"{s}_{n}") if n else F.col(c).alias(s) for c, n in (("id", ""), ("most", "most"), ("least", "least"), ("i", "i"), ("d", "d"), ("p", "p"))])
-    left = side(shared.join(matched, "id", "left_anti"), "x").drop("lead")
-    rest = side(shared, "y")
-    fits = f"""least(x_most, y_most) >= {t!r} * greatest(x_least, y_least) - 1e-9
-        and least(x_most - x_i, y_most - y_i) >= {_need(t, 'x_least', 'y_least')}"""
-    later = "(y_d is null or y_d < x_d or y_d <=> x_d and y_p <= x_p) and x <> y and y <> lead and x <> lead"
-    more = left.join(rest, "token").where(later).where(fits).select("x", "y").distinct()
-    near = matched.union(similar(more)).distinct().withColumn("near", F.lit(True))
-    flagged = different.select("id", "k1", "k2", "at", "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", F.col("at"), F.coalesce("near", F.lit(False)).alias("near"))
+    left = scratch.write(shared.join(matched, "id", "left_anti"), "left")
+    longer = left.alias("x").join(shared.where(index("n", "i")).alias("y"), "token").where("y.n <= x.n")
+    shorter = left.where(index("n", "i")).alias("x").join(shared.alias("y"), "token").where("y.n > x.n")
+    more = [df.where(earlier).where(fits).select(*pair) for df in (longer, shorter)]
+    near = matched.union(similar(more[0].union(more[1]))).withColumn("near", F.lit(True))
+    flagged = different.select("id", "k1", "k2", "at", "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     flagged = scratch.write(flagged, "flagged")
-    gone = lines.select("doc_id", "th", "pos", "k1", "k2").join(flagged, ["k1", "k2"]).where("near or not (at.doc_id <=> doc_id and at.th = th and at.pos = pos)")
-    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
-
-
-def _marked(docs: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    drop = scratch.write(removals(docs, scratch, similarity).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drop").alias("__drop")), "drop")
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    out = docs.withColumn("__key", th).join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> not array_contains(__drop, i)), '\\n')")
-    return out.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept))
+    scratch.drop(different, shared, sets, left)
+    gone = lines.select("d", "th", "p", "k1", "k2").join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
+    out = scratch.write(gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("p")).alias("drop")), "drop")
+    scratch.drop(lines, matched, flagged)
+    return out
+
+
+def _kept(docs: DataFrame, similarity: float) -> DataFrame:
+    """row (a row of ``docs`` as it is), drop, and kept (its text without those lines)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    gone = removals(docs, scratch, similarity)
+    text = F.coalesce("row.text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("d", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST))).withColumn("th", F.xxhash64(text))
+    df = rows.join(gone, ["d", "th"], "left")
+    # The pieces between the lines that go, joined again.
+    kept = """transform(array(split(row.text, '\\n', -1)), l -> transform(array(concat(array(-1), drop, array(size(l)))),
+        e -> array_join(flatten(transform(sequence(0, size(e) - 2), i -> slice(l, e[i] + 2, e[i + 1] - e[i] - 1))), '\\n'))[0])[0]"""
+    return df.select("row", "drop", F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.expr(kept)).alias("kept"))
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that repeat or nearly repeat an earlier one."""
-    names = docs.columns
-    out = _marked(docs, Scratch(docs.sparkSession, "lines"), similarity)
-    return out.select(*[F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    out = _kept(docs, similarity)
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 for each document."""
-    out = _marked(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "lines"), similarity)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long").alias("n_removed"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
+    out = _kept(docs.select("doc_id", "text"), similarity)
+    return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("row.text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

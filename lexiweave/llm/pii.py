@@ -19,6 +19,7 @@ are scanned each; a corpus without seeds has rule spans only (none).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from .common import Scratch, texts
 LEAST_VALUES = 5
 ROUNDS = 3
 CONFIDENT = 0.8
+#: Bits (as a power of two) of the table that tells pairs which no pattern holds; its size is fixed.
+CELL_BITS = 18
 #: Code points before a value in which its two context tokens are sought first; if
 #: they do not lie there whole, all of the text before is read.
 CONTEXT = 64
@@ -110,19 +113,27 @@ def _pairs() -> Column:
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each pattern occurs in the whole corpus."""
+    """pattern, total: how often each pattern occurs in the whole corpus.
+
+    Pairs that share no cell of a fixed bit table with a pattern drop out before
+    they are counted; the counts meet the patterns once they are aggregated."""
+    cell = F.shiftrightunsigned(F.xxhash64("pattern"), 64 - CELL_BITS)
+    bits = [0] * (1 << CELL_BITS - 5)
+    for r in patterns.select(cell.cast("int").alias("cell")).distinct().collect():
+        bits[r["cell"] >> 5] |= 1 << (r["cell"] & 31)
+    held = F.getbit(F.get(F.lit(np.array(bits, np.int64)), F.shiftright(cell, 5).cast("int")), cell.bitwiseAND(F.lit(31)).cast("int"))
     words = texts(docs).select(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w"))
-    pairs = words.select(F.explode(_pairs()).alias("pattern"))
-    return pairs.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    pairs = words.select(F.explode(_pairs()).alias("pattern")).where(held == 1)
+    return pairs.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
 
 
-def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch, least_values: int) -> DataFrame:
     """The patterns whose score after the last round is above CONFIDENT."""
     seeds = found.select(F.explode("seeds").alias("c")).select("c.pattern", "c.value", F.lit(1.0).alias("seed"))
     others = found.select(F.explode("others").alias("c")).select("c.pattern", "c.value", F.lit(0.0).alias("seed"))
     edges = seeds.union(others).where("pattern <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = scratch.write(edges, "edges")
-    wide = scratch.write(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= LEAST_VALUES).select("pattern"), "patterns")
+    wide = scratch.write(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= least_values).select("pattern"), "patterns")
     if wide.isEmpty():
         return wide
     total = scratch.write(_occurrences(docs, wide), "totals")
@@ -155,17 +166,18 @@ def _marked(found: DataFrame, trusted: DataFrame) -> DataFrame:
     return df.select("row", F.expr(apart).alias("added"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id for each document."""
+def scan(docs: DataFrame, least_values: int = LEAST_VALUES) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans for each
+    document.  A pattern is learned from if ``least_values`` different values follow it."""
     scratch = Scratch(docs.sparkSession, "pii")
     df = spans(docs)
     plain = "transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'stop', x.stop))"
     df = df.select("doc_id", "text", F.expr(plain).alias("base"), _contexts("base").alias("seeds"), _contexts("unknown").alias("others"))
     found = scratch.write(df.withColumn("row", F.monotonically_increasing_id()), "spans")
-    trusted = _trusted(docs, found, scratch)
+    trusted = _trusted(docs, found, scratch, least_values)
     added = scratch.write(_marked(found, trusted), "added")
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint>>)")
     out = found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
     out = out.withColumn("every", F.array_sort(F.concat("base", "added")))
     count = lambda k: F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}")
-    return out.select("doc_id", *[count(k) for k in range(4)], F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("every").alias("spans"), F.size("added").cast("long").alias("n_id"))
+    return out.select("doc_id", *[count(k) for k in range(4)], F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("every").alias("spans"), F.size("added").cast("long").alias("n_id"), F.size("every").cast("long").alias("n_spans"))
