@@ -1,31 +1,36 @@
 """Repeated passages by a depth-limited radix sort of sampled suffixes.
 
-Only the first ``LENGTH`` bytes of a suffix matter, so suffixes are dealt by
+Only the first ``LENGTH`` bytes of a suffix matter, so suffixes are ordered by
 most significant digits until that depth and no further; a group of equal
 windows is then exactly a repeated passage.
 
-The first digit is ``DIGIT`` bytes.  It is not read at every suffix: of each
-window's digits the one with the least hash stands for it (equal windows choose
-alike), which leaves one suffix in about thirteen.  A digit that only one text
-holds cannot begin a repeated window, and its windows drop out.  The second
-pass deals the windows of the digits that are left by a hash of all
-``LENGTH`` bytes, to the end of the depth.  In a group of equal windows every
-one but those of the smallest doc_id is marked.
+Dealing every suffix would move many times the input, so a first pass leaves
+out what cannot repeat.  Of each window's ``DIGIT``-byte strings the one with the
+least hash stands for it (equal windows choose alike), which leaves one place in
+about thirteen.  A string that only one text holds cannot lie in a repeated
+window, and its windows drop out; hashes only ever keep too much here.
 
-Documents travel as compressed chunks, suffixes as packed arrays per chunk and
-digit bucket, and answers as bits in the same order.  A chunk sends an equal
-digit or window once, so a passage that many documents share costs its bucket
-one entry for each chunk.  Texts equal to that of a smaller doc_id are settled
-by their hash alone.  Each pass starts from a written table.
+The second pass deals what is left, the bytes around each such place, by that
+string.  A bucket orders the windows in them digit by digit (eight bytes, most
+significant first), goes on only with groups of more than one, and ends at
+``LENGTH`` bytes: windows are compared byte by byte.  In a group of equal
+windows every one but those of the smallest doc_id is marked.
+
+Documents travel as compressed chunks, strings and contexts as packed arrays per
+chunk and bucket, and answers as bits in the same order.  A chunk sends equal
+contexts once, so a passage that many documents share costs its bucket one entry
+for each chunk.  Texts equal to that of a smaller doc_id (128-bit BLAKE2) are
+settled as a whole.  Each pass starts from a written table.
 
 Results for odd input: null text counts as empty; texts shorter than the
 window lose nothing; rows with the same doc_id are not smaller than each other;
-a null doc_id counts as larger than all others.
+a null doc_id counts as larger than all others; very long texts are chunks of
+their own and cost linear time; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import hashlib
 import zlib
 
@@ -35,12 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, texts
+from .common import Scratch, arrow_rows, free, texts
 
 LENGTH = 50
 DIGIT = 24
-#: Bytes of text in a chunk, positions hashed at a time, suffixes aimed at in a bucket.
-CHUNK, SEGMENT, BUCKET = 2 << 20, 1 << 17, 1 << 20
+#: Bytes of text in a chunk, positions hashed at a time, strings aimed at in a bucket of the first pass.
+CHUNK, SEGMENT, BUCKET = 1 << 20, 1 << 17, 1 << 20
+#: Buckets of the second pass for each of the first.
+FINER = 8
 _LAST = np.iinfo(np.int64).max
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -56,30 +63,27 @@ class Hasher:
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         one = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))])
         self.power, self.back = one(base), one(inverse)
-        self.tables = rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def windows(self, x: np.ndarray, which: int, size: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hash of the ``size`` bytes from each position (of ``at``, or all)."""
+    def strings(self, x: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the ``size`` bytes from each position."""
         sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(self.tables[which][x] * self.power[: len(x)], out=sums[1:])
-        if at is None:
-            h = (sums[size:] - sums[:-size]) * self.back[: len(x) - size + 1]
-        else:
-            h = (sums[at + size] - sums[at]) * self.back[at]
+        np.cumsum(self.table[x] * self.power[: len(x)], out=sums[1:])
+        h = (sums[size:] - sums[:-size]) * self.back[: len(x) - size + 1]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         return h
 
     def segments(self, x: np.ndarray, ends: np.ndarray):
-        """(offset, bytes, keys, lo, hi) per segment: the sampled digits' hashes
-        and, for each, the first and last start of the windows it stands for."""
+        """(keys, places, lo, hi) per segment: the sampled strings' hashes and
+        places and, for each, the first and last start of the windows it stands for."""
         length, digit = self.length, self.digit
         width = length - digit + 1
         for o in range(0, max(0, len(x) - length + 1), SEGMENT):
             part = x[o : o + SEGMENT + length - 1]
             n = len(part) - length + 1
-            h = self.windows(part, 0, digit)
+            h = self.strings(part, digit)
             mask = np.uint64((1 << 18) - 1)
             low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
             size = 1
@@ -97,7 +101,7 @@ class Hasher:
             hi = np.concatenate([edge, [n]]) - 1
             keep = good[lo]
             lo, hi = lo[keep], hi[keep]
-            yield o, part, h[spot[lo]], lo, hi
+            yield h[spot[lo]], spot[lo] + o, lo + o, hi + o
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ class Chunk:
 
     def __init__(self, ids, sizes, blob):
         raw = zlib.decompress(blob)
-        self.x = np.frombuffer(raw, np.uint8)
+        self.raw, self.x = raw, np.frombuffer(raw, np.uint8)
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.ids = np.array([_LAST if i is None else i for i in ids], np.int64)
@@ -156,69 +160,146 @@ def pack_groups(bucket: np.ndarray, group: np.ndarray, key: np.ndarray):
         yield int(bucket[a]), head + key[a:b].tobytes() + g[cut].tobytes() + runs.astype(np.int32).tobytes()
 
 
-def unpack_groups(blob: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def unpack_groups(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """(keys, groups) of a blob of :func:`pack_groups`."""
     n, m = np.frombuffer(blob, np.int64, 2)
-    size = np.dtype(kind).itemsize
+    size = kind.itemsize
     key = np.frombuffer(blob, kind, n, 16)
     group = np.frombuffer(blob, np.int64, m, 16 + n * size)
     return key, np.repeat(group, np.frombuffer(blob, np.int32, m, 16 + n * size + 8 * m))
 
 
 class Digits:
-    """First pass over a chunk: its distinct digits in the order they are sent."""
+    """First pass over a chunk: its distinct strings in the order they are sent."""
 
     def __init__(self, chunk: Chunk, hasher: Hasher, buckets: int):
-        self.parts = [(o, p, lo, hi, k) for o, p, k, lo, hi in hasher.segments(chunk.x, chunk.ends)]
-        empty = np.empty(0, np.uint64)
-        keys = np.concatenate([empty, *[p[4] for p in self.parts]])
-        at = np.concatenate([np.empty(0, np.int64), *[p[2] + p[0] for p in self.parts]])
-        doc = chunk.doc_of(at)
-        text = chunk.text[doc, 0].view(np.int64) if len(doc) else np.empty(0, np.int64)
+        parts = list(hasher.segments(chunk.x, chunk.ends))
+        keys = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
+        self.at, self.lo, self.hi = (np.concatenate([np.empty(0, np.int64), *[p[k] for p in parts]]) for k in (1, 2, 3))
+        self.doc = chunk.doc_of(self.lo)
+        text = chunk.text[self.doc, 0].view(np.int64) if len(self.doc) else np.empty(0, np.int64)
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         owner = text[first]
         mixed = np.zeros(len(unique), bool)
         mixed[inverse[text != owner[inverse]]] = True
-        # Zero stands for a digit that several texts of this chunk hold.
+        # Zero stands for a string that several texts of this chunk hold.
         owner = np.where(mixed, 0, owner | 1)
-        bucket = ((unique >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        self.bucket, self.owner, self.key = bucket[order], owner[order], (unique[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        fine = ((unique >> np.uint64(40)) % np.uint64(buckets * FINER)).astype(np.int64)
+        order = np.lexsort((owner, fine // FINER))
+        self.bucket, self.owner, self.key = fine[order] // FINER, owner[order], (unique[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.of_anchor = place[inverse]
-
-
-class Windows:
-    """Second pass over a chunk: its distinct open windows in the order they are sent."""
-
-    def __init__(self, chunk: Chunk, hasher: Hasher, digits: Digits, shared: np.ndarray, copy: np.ndarray, buckets: int):
-        hashes, others, spots, seen = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-        for o, part, lo, hi, keys in digits.parts:
-            open_ = shared[digits.of_anchor[seen : seen + len(keys)]] & ~copy[chunk.doc_of(lo + o)]
-            seen += len(keys)
-            n = hi[open_] - lo[open_] + 1
-            if not len(n):
-                continue
-            at = np.repeat(lo[open_] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            hashes.append(hasher.windows(part, 0, hasher.length, at))
-            others.append(hasher.windows(part, 1, hasher.length, at))
-            spots.append(at + o)
-        h, g, self.at = np.concatenate(hashes), np.concatenate(others), np.concatenate(spots)
-        doc = chunk.ids[chunk.doc_of(self.at)] if len(self.at) else np.empty(0, np.int64)
-        order = np.lexsort((doc, h))
-        sh = h[order]
-        new = np.concatenate([[True], sh[1:] != sh[:-1]]) if len(sh) else np.empty(0, bool)
-        lead = order[new]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(new) - 1
-        self.beaten = doc > doc[lead][group] if len(h) else np.empty(0, bool)
-        bucket = (g[lead] >> np.uint64(20)) % np.uint64(buckets)
-        sent = np.lexsort((h[lead], doc[lead], bucket))
-        self.bucket, self.doc, self.key = bucket[sent].astype(np.int64), doc[lead][sent], h[lead][sent]
-        place = np.empty(len(sent), np.int64)
-        place[sent] = np.arange(len(sent))
-        self.of_window = place[group]
+        self.of_place = place[inverse]
+        self.fine = fine[inverse]
+
+
+class Contexts:
+    """Second pass over a chunk: the bytes around the open places, each different
+    context once, in the order they are sent."""
+
+    def __init__(self, chunk: Chunk, digits: Digits, shared: np.ndarray, copy: np.ndarray, length: int):
+        open_ = np.flatnonzero(shared[digits.of_place] & ~copy[digits.doc])
+        self.lo, windows = digits.lo[open_], (digits.hi - digits.lo)[open_] + 1
+        before, fine = (digits.at[open_] - self.lo).tolist(), digits.fine[open_].tolist()
+        self.doc = chunk.ids[digits.doc[open_]]
+        known: dict[tuple, int] = {}
+        raw = chunk.raw
+        number = [known.setdefault((f, b, raw[s : s + n + length - 1]), len(known)) for f, b, s, n in zip(fine, before, self.lo.tolist(), windows.tolist())]
+        names = list(known)
+        order = sorted(range(len(names)), key=lambda i: names[i][0])
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        self.of = place[np.array(number, np.int64)]
+        self.least = np.full(len(names), _LAST, np.int64)
+        np.minimum.at(self.least, self.of, self.doc)
+        self.names = [names[i] for i in order]
+        self.bucket = np.array([f for f, _, _ in self.names], np.int64)
+        self.windows = np.array([len(t) - length + 1 for _, _, t in self.names], np.int64)
+        self.begin = np.cumsum(self.windows) - self.windows
+
+    def packed(self):
+        """(bucket, blob) of what is sent."""
+        edges = np.flatnonzero(np.diff(self.bucket)) + 1
+        for a, z in zip(np.concatenate([[0], edges]).tolist(), np.concatenate([edges, [len(self.bucket)]]).tolist()):
+            if a < z:
+                part = self.names[a:z]
+                sizes = np.array([len(t) for _, _, t in part], np.uint16).tobytes()
+                yield int(self.bucket[a]), np.int64(z - a).tobytes() + self.least[a:z].tobytes() + sizes + np.array([b for _, b, _ in part], np.uint16).tobytes() + b"".join(t for _, _, t in part)
+
+    def beaten(self, bits: list[dict] | None) -> np.ndarray:
+        """Starts of the windows that a smaller doc_id holds too."""
+        back = answer(bits, np.repeat(self.bucket, self.windows))
+        n = self.windows[self.of]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        hit = back[np.repeat(self.begin[self.of], n) + step] | np.repeat(self.doc > self.least[self.of], n)
+        return (np.repeat(self.lo, n) + step)[hit]
+
+
+def radix_groups(raw: bytes, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``at`` whose ``depth`` bytes stand there more than once, in the
+    order of those bytes, and the first place of each group among them.
+
+    Digits are eight bytes, most significant first; only groups of more than one
+    go on to the next digit."""
+    x = np.frombuffer(raw + bytes(8), np.uint8)
+    digits = np.ndarray(max(0, len(x) - 7), ">u8", x.data, strides=(1,)) if len(x) > 7 else np.empty(0, ">u8")
+    active, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for k in range(0, depth, 8):
+        digit = digits[at[active] + k].astype(np.uint64)
+        if depth - k < 8:
+            digit >>= np.uint64(8 * (8 - depth + k))
+        order = np.lexsort((digit, group)) if k else np.argsort(digit, kind="stable")
+        digit, group, active = digit[order], group[order], active[order]
+        new = np.ones(len(digit), bool)
+        new[1:] = (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])
+        group = np.cumsum(new) - 1
+        several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.empty(0, bool)
+        active, group = active[several], group[several]
+    return active, np.flatnonzero(np.diff(group, prepend=-1))
+
+
+def settle_contexts(blobs: list[bytes], length: int, digit: int) -> list[np.ndarray]:
+    """For each blob of :meth:`Contexts.packed`, which of its windows a smaller doc_id holds."""
+    known: dict[bytes, int] = {}
+    places: list[int] = []
+    sent = []
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        doc, sizes, before = np.frombuffer(blob, np.int64, n, 8), np.frombuffer(blob, np.uint16, n, 8 + 8 * n).astype(np.int64), np.frombuffer(blob, np.uint16, n, 8 + 10 * n)
+        ends = 8 + 12 * n + np.cumsum(sizes)
+        number = []
+        for s, e, b in zip((ends - sizes).tolist(), ends.tolist(), before.tolist()):
+            text = blob[s:e]
+            i = known.setdefault(text, len(known))
+            if i == len(places):
+                places.append(b)
+            number.append(i)
+        sent.append((doc, np.array(number, np.int64)))
+    texts_ = list(known)
+    sizes = np.array([len(t) for t in texts_], np.int64)
+    least = np.full(len(texts_), _LAST, np.int64)
+    for doc, number in sent:
+        np.minimum.at(least, number, doc)
+    windows = sizes - length + 1
+    begin = np.cumsum(windows) - windows
+    low = np.repeat(least, windows)
+    # A context whose string stands in no other context meets no other window.
+    held: dict[bytes, int] = {}
+    string = np.array([held.setdefault(t[b : b + digit], len(held)) for t, b in zip(texts_, places)], np.int64)
+    meets = (np.bincount(string, minlength=1)[string] > 1) if len(string) else np.empty(0, bool)
+    step = np.arange(len(low)) - np.repeat(begin, windows)
+    at = (np.repeat(np.cumsum(sizes) - sizes, windows) + step)[np.repeat(meets, windows)]
+    spot = np.flatnonzero(np.repeat(meets, windows))
+    active, cut = radix_groups(b"".join(texts_), at, length)
+    if len(cut):
+        spot = spot[active]
+        low[spot] = np.repeat(np.minimum.reduceat(low[spot], cut), np.diff(np.append(cut, len(spot))))
+    out = []
+    for doc, number in sent:
+        n = windows[number]
+        here = np.repeat(begin[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out.append(low[here] < np.repeat(doc, n))
+    return out
 
 
 def answer(bits: list[dict] | None, bucket: np.ndarray) -> np.ndarray:
@@ -239,15 +320,15 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())], names=["family", "bucket", "chunk", "blob"])
 
 
-def settle(table: pa.Table) -> pa.Table:
-    """Answers of one bucket: which of its digits, texts or windows are repeated."""
-    family = table.column("family")[0].as_py()
-    blobs = [b.as_py() for b in table.column("blob")]
-    got = [unpack_groups(b, np.uint32 if family == 0 else np.uint64) for b in blobs]
+def settle(family: int, blobs: list[bytes]) -> list[np.ndarray]:
+    """For each blob of a bucket, which of its strings (family 0) several texts hold
+    or which of its texts (family 1) a smaller doc_id has."""
+    got = [unpack_groups(b, np.dtype(np.uint32) if family == 0 else np.dtype((np.uint64, 2))) for b in blobs]
     key, group = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((group, key))
+    order = np.lexsort((group, key) if family == 0 else (group, key[:, 0], key[:, 1]))
     k, g = key[order], group[order]
-    start = np.concatenate([[True], k[1:] != k[:-1]])
+    start = np.ones(len(k), bool)
+    start[1:] = k[1:] != k[:-1] if family == 0 else (k[1:] != k[:-1]).any(axis=1)
     number = np.cumsum(start) - 1
     first = g[start][number]
     if family == 0:
@@ -258,14 +339,26 @@ def settle(table: pa.Table) -> pa.Table:
         hit = g > first
     bits = np.empty(len(key), bool)
     bits[order] = hit
-    cut = np.cumsum([len(k) for k, _ in got])[:-1]
-    back = [np.packbits(b).tobytes() for b in np.split(bits, cut)]
-    return pa.table({"family": table.column("family"), "bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": pa.array(back, pa.binary())})
+    return np.split(bits, np.cumsum([len(k) for k, _ in got])[:-1])
+
+
+def _settled(length: int, digit: int):
+    """Answers of one bucket, as a function of its table."""
 
+    def run(table: pa.Table) -> pa.Table:
+        family = table.column("family")[0].as_py()
+        blobs = [b.as_py() for b in table.column("blob")]
+        bits = settle_contexts(blobs, length, digit) if family == 2 else settle(family, blobs)
+        back = pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())
+        trim()
+        return pa.table({"family": table.column("family"), "bucket": table.column("bucket"), "chunk": table.column("chunk"), "bits": back})
 
-def _answers(sent: DataFrame) -> DataFrame:
-    """chunk, families: lists of the answers to a chunk."""
-    back = sent.groupBy("family", "bucket").applyInArrow(settle, _BACK)
+    return run
+
+
+def _answers(sent: DataFrame, length: int, digit: int) -> DataFrame:
+    """chunk, back: the answers to a chunk."""
+    back = sent.groupBy("family", "bucket").applyInArrow(_settled(length, digit), _BACK)
     return back.groupBy("chunk").agg(F.collect_list(F.struct("family", "bucket", "bits")).alias("back"))
 
 
@@ -273,22 +366,28 @@ def _unpack(batch: pa.RecordBatch, k: int) -> Chunk:
     return Chunk(batch.column("ids")[k].as_py(), batch.column("sizes")[k].as_py(), batch.column("blob")[k].as_py())
 
 
-def _free(spark) -> None:
-    """Let Spark delete the shuffle files of finished passes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def trim() -> None:
+    """Give freed memory back, so that idle workers hold little."""
+    ctypes.CDLL(None).malloc_trim(0)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (flat byte spans)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substrings")
     arrow_rows(spark)
+    rows = spark.conf.get(_BATCH)
+    try:
+        return _repeated(docs, length, min(digit, length))
+    finally:
+        spark.conf.set(_BATCH, rows)
+
+
+def _repeated(docs: DataFrame, length: int, digit: int) -> DataFrame:
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substrings")
     table = scratch.write(chunks(docs), "chunks")
     total = table.agg(F.sum("size")).first()[0] or 0
     buckets = max(24, int(total / 13 / BUCKET) + 1)
-    digit = min(digit, length)
-    rows = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "4")
 
     def deal_digits(batches):
@@ -299,11 +398,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
                 d = Digits(chunk, hasher, buckets)
                 sent = [(0, b, name, x) for b, x in pack_groups(d.bucket, d.owner, d.key)]
                 at, order = _texts_sent(chunk, buckets)
-                sent += [(1, b, name, x) for b, x in pack_groups(at, chunk.ids[order], chunk.text[order, 1].copy())]
+                sent += [(1, b, name, x) for b, x in pack_groups(at, chunk.ids[order], chunk.text[order])]
                 yield _sent(sent)
+                trim()
 
-    first = scratch.write(_answers(table.select("chunk", "ids", "sizes", "blob").mapInArrow(deal_digits, _SENT)), "digits")
-    _free(spark)
+    cut = table.select("chunk", "ids", "sizes", "blob")
+    first = scratch.write(_answers(cut.mapInArrow(deal_digits, _SENT), length, digit), "digits")
+    free(spark)
 
     def opened(batch, k, hasher):
         chunk = _unpack(batch, k)
@@ -313,28 +414,29 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
         at, order = _texts_sent(chunk, buckets)
         copy = np.zeros(len(chunk.ids), bool)
         copy[order] = answer([b for b in back if b["family"] == 1], at)
-        return chunk, copy, back, Windows(chunk, hasher, d, shared, copy, buckets)
+        return chunk, copy, Contexts(chunk, d, shared, copy, length)
 
-    def deal_windows(batches):
+    def deal_contexts(batches):
         hasher = Hasher(length, digit)
         for batch in batches:
             for k in range(batch.num_rows):
-                _, _, _, w = opened(batch, k, hasher)
-                yield _sent([(2, b, batch.column("chunk")[k].as_py(), x) for b, x in pack_groups(w.bucket, w.doc, w.key)])
+                c = opened(batch, k, hasher)[2]
+                yield _sent([(2, b, batch.column("chunk")[k].as_py(), x) for b, x in c.packed()])
+                trim()
 
-    asked = table.select("chunk", "ids", "sizes", "blob").join(first, "chunk")
-    second = scratch.write(_answers(asked.mapInArrow(deal_windows, _SENT)).withColumnRenamed("back", "last"), "windows")
-    _free(spark)
+    asked = cut.join(first, "chunk")
+    second = scratch.write(_answers(asked.mapInArrow(deal_contexts, _SENT), length, digit).withColumnRenamed("back", "last"), "contexts")
+    free(spark)
 
     def finish(batches):
         hasher = Hasher(length, digit)
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk, copy, _, w = opened(batch, k, hasher)
-                hit = w.beaten | answer(batch.column("last")[k].as_py(), w.bucket)[w.of_window] if len(w.at) else np.empty(0, bool)
+                chunk, copy, c = opened(batch, k, hasher)
+                hit = c.beaten(batch.column("last")[k].as_py())
                 depth = np.zeros(len(chunk.x) + 1, np.int32)
-                np.add.at(depth, w.at[hit], 1)
-                np.add.at(depth, w.at[hit] + length, -1)
+                np.add.at(depth, hit, 1)
+                np.add.at(depth, hit + length, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")}
                 for j, (s, e) in enumerate(zip((chunk.ends - chunk.sizes).tolist(), chunk.ends.tolist())):
@@ -347,11 +449,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
                     out["kept_sha256"].append(hashlib.sha256(chunk.x[s:e][~g].tobytes()).hexdigest())
                     out["removed"].append(edge.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if n == "kept_sha256" else pa.list_(pa.int64()) if n == "removed" else pa.int64()) for n, v in out.items()], names=list(out))
+                trim()
 
     both = asked.join(second, "chunk", "left")
     out = scratch.write(both.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"), "spans")
     scratch.drop(table, first, second)
-    spark.conf.set(_BATCH, rows)
     return out
 
 
