@@ -8,13 +8,19 @@ windows.  A document that crosses a boundary has one record in each window.
 All sequences but the last are full.
 
 Results for odd input: null text counts as empty, and an empty text is the end
-token alone; repeated ids are separate documents; an empty table gives no rows.
+token alone; repeated rows and ids are separate documents, and the order of the
+stream, ties included, is that of the input's partitions; a very long text is
+cut at every window; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,18 +29,22 @@ from .common import Scratch, arrow_rows, texts
 
 SEQUENCE = 4096
 END_ID = 2
-#: Entries of each half of a worker's two tables of ids; the older half goes when the newer is full.
-CACHE_WORDS = 250_000
+#: Entries of each half of a worker's table of ids; the older half goes when the newer is full.
+CACHE_WORDS = 500_000
+
+
+#: The vocabulary's words in printable lower-case ASCII (a fixed value).
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class _Halves:
     """A table that forgets what was not asked for lately."""
 
     def __init__(self):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, key: bytes) -> bytes | None:
+    def get(self, key: str) -> bytes | None:
         got = self.new.get(key)
         if got is None:
             got = self.old.get(key)
@@ -42,19 +52,20 @@ class _Halves:
                 self.put(key, got)
         return got
 
-    def put(self, key: bytes, value: bytes) -> None:
+    def put(self, key: str, value: bytes) -> None:
         if len(self.new) >= CACHE_WORDS:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
 
 class WordCache:
-    """Ids of a text from cached ids of its white-space separated parts.
+    """Ids of a batch of texts from cached ids of their white-space separated parts.
 
     The vocabulary's normaliser and splitter never join across white space, so
     the parts can be encoded alone; the ids equal those of the whole text.  A
-    part that is letters, or letters and one comma or full stop, splits further
-    without the normaliser: its letters are one word of the model."""
+    batch looks each different part up once.  Parts of Latin letters, with one
+    comma or full stop behind them, and printable ASCII parts split into the
+    model's words without the normaliser."""
 
     def __init__(self, model: str):
         import os
@@ -63,46 +74,69 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.parts, self.words = _Halves(), _Halves()
-        self.marks = {m: self._whole(m) for m in ".,"}
+        self.words = _Halves()
         # The byte-level alphabet: printable bytes stand for themselves, others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, text: str) -> bytes:
-        got = self.words.get(text)
+    def _known(self, word: str) -> bytes:
+        """Ids of one word of the model: lower-case Latin-1 letters, one digit or a run of marks."""
+        got = self.words.get(word)
         if got is None:
-            raw = text.lower().encode().decode("latin-1").translate(self.alphabet)
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(raw)], "<u4").tobytes()
-            self.words.put(text, got)
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            got = array("I", [t.id for t in self.tokenizer.model.tokenize(raw)]).tobytes()
+            if len(word) <= 64:
+                self.words.put(word, got)
         return got
 
-    def _part(self, part: bytes) -> bytes:
-        got = self.parts.get(part)
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that is not a word of the table as it stands."""
+        if not part:
+            return b""
+        stem = part[:-1] if part[-1] in ".," else part
+        # Latin letters have one composed form and one lower case.
+        if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
+            got = self._known(stem.lower())
+            return got if stem is part else got + self._known(part[-1])
+        if part.isascii() and part.isprintable():
+            return b"".join(map(self._known, WORD.findall(part.lower())))
+        got = self.words.get(part)
         if got is None:
-            text = part.decode()
-            stem = text[:-1] if text[-1] in self.marks else text
-            # Latin letters have one composed form and one lower case.
-            if stem.isalpha() and max(stem) <= "\xff":
-                got = self._word(stem) if stem is text else self._word(stem) + self.marks[text[-1]]
-            else:
-                got = self._whole(text)
+            got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
             if len(part) <= 64:
-                self.parts.put(part, got)
+                self.words.put(part, got)
         return got
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        parts = text.encode("utf-8", "replace").split()
-        got = list(map(self.parts.new.get, parts))
-        if None in got:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end`` behind it; where each text ends)."""
+        lists = pc.ascii_split_whitespace(texts)
+        cut = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(cut[0], cut[-1] - cut[0]).dictionary_encode()
+        runs = list(map(self.words.new.get, parts := coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        if None in runs:
             found = self._part
-            got = [found(p) if g is None else g for p, g in zip(parts, got)]
-        return b"".join(got)
+            runs = [found(p) if r is None else r for p, r in zip(parts, runs)]
+        runs.append(np.array([end], "<u4").tobytes())
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        ids = np.frombuffer(b"".join(runs), "<u4")
+        start = np.cumsum(size) - size
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), cut[1:] - cut[0], len(runs) - 1)
+        n = size[word]
+        done = np.cumsum(n)
+        at = np.repeat(start[word] - (done - n), n) + np.arange(int(n.sum()))
+        return ids[at], done[cut[1:] - cut[0] + np.arange(len(texts))]
+
+
+#: The table of this worker process, kept from task to task.
+_HELD: dict[str, WordCache] = {}
+
+
+def _cache(model: str) -> WordCache:
+    if model not in _HELD:
+        _HELD.clear()
+        _HELD[model] = WordCache(model)
+    return _HELD[model]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
@@ -111,16 +145,15 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     arrow_rows(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        cache, part, start = WordCache(model.value), TaskContext.get().partitionId(), 0
+        cache, part, start = _cache(model.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [cache.encode(t.as_py()) + end for t in batch.column("text")]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = start + np.cumsum(n) - n
+            ids, ends = cache.encode(batch.column("text"), end_id)
+            n = np.diff(ends, prepend=0)
+            held = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * np.concatenate([[0], ends])), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ends - n), pa.array(n), held], names=["doc_id", "part", "start", "n", "ids"])
             start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, part int, start long, n long, ids binary")
 
