@@ -26,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans, which it does once
-    the driver's garbage is collected."""
+    the driver's garbage is collected; events that have not been told to Spark's
+    listeners yet still hold a plan, so they go first."""
     gc.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -173,8 +173,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h], names=["id", "h"])
 
-    found = docs.join(asked, ["d", "th"]).select("text", "places", "ids").mapInArrow(run, "id long, h array<long>")
-    return found.dropDuplicates(["id"])
+    return docs.dropDuplicates(["d", "th"]).join(asked, ["d", "th"]).select("text", "places", "ids").mapInArrow(run, "id long, h array<long>")
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -192,6 +191,8 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     # One row for each different line, standing for its first place.
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "p", "th")).alias("at"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("heads").alias("heads"))
     different = scratch.write(first.withColumn("id", F.monotonically_increasing_id()), "different")
+    lines, whole = scratch.write(lines.select("d", "th", "p", "k1", "k2"), "places"), lines
+    scratch.drop(whole)
     tokens = different.select("id", "n", F.col("at.d").alias("d"), F.col("at.p").alias("p"), F.posexplode("heads").alias("i", "token"))
     # Of two lines the shorter holds the common token in its index prefix.
     index = lambda n, i: f"{i} <= {n} - {_need(t, n, n)}"
@@ -221,7 +222,7 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     flagged = different.select("id", "k1", "k2", "at", "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     flagged = scratch.write(flagged, "flagged")
     scratch.drop(different, shared, sets, left)
-    gone = lines.select("d", "th", "p", "k1", "k2").join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
+    gone = lines.join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
     out = scratch.write(gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("p")).alias("drop")), "drop")
     scratch.drop(lines, matched, flagged)
     return out
