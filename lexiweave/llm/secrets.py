@@ -3,10 +3,12 @@
 The rules' own hits are labelled credentials.  A bounded sample of each kind
 goes into a prefix tree whose statistically compatible states are merged
 (Hoeffding bound on every outgoing and final frequency), which leaves a
-probabilistic automaton per kind.  Every other token of the corpus that could
-be a credential is scored by its mean log likelihood under each automaton less
-that under an automaton of ordinary tokens, and one that scores above what the
-labelled credentials themselves score is added as kind ``format``.
+probabilistic automaton per kind.  Every token of the corpus that could
+be a credential, the rules' own hits included, is scored by its mean log likelihood
+under each automaton less that under an automaton of a sample of all unlabelled
+tokens; scores of a kind with few labels shrink toward zero.  An unlabelled token
+that scores above what the labelled credentials themselves score is added as
+kind ``format``.  Repeated tokens score alike, ties are on the side of the format.
 
 Results for odd input: null text counts as empty and has no span; repeated rows
 are scanned each; with no labelled credential no automaton is built and only
@@ -29,8 +31,11 @@ from .common import Scratch, arrow_rows, texts
 
 #: Distinct labelled credentials per kind, and ordinary tokens, that training reads at most.
 SAMPLE = 3000
-#: Fewest distinct labelled credentials of a kind for an automaton.
-LEAST = 20
+#: Labelled credentials of a kind at which its scores count by half: fewer shrink
+#: them toward those of ordinary tokens.
+SHRINK = 20
+#: Log likelihood of each symbol that no state explains; scores that a format has at least.
+UNSEEN, FLOOR = math.log(1e-3), 0.05
 #: Confidence of the compatibility test.
 ALPHA = 0.01
 #: Labelled credentials that score below the threshold, as a share.
@@ -147,12 +152,13 @@ class Automaton:
     def likelihood(self, s: str) -> float:
         """Mean log probability of a string's symbols and its end."""
         at, total = 0, 0.0
-        for c in s:
+        for k, c in enumerate(s):
             n = self.total[at] + 0.5 * (len(self.go[at]) + 2)
             total += math.log((self.count[at].get(c, 0) + 0.5) / n)
             nxt = self.go[at].get(c)
             if nxt is None:
-                return (total + math.log(1e-3) * 4) / (len(s) + 1)
+                # No state explains what follows, the end included.
+                return (total + UNSEEN * (len(s) - k)) / (len(s) + 1)
             at = nxt
         total += math.log((self.final[at] + 0.5) / (self.total[at] + 0.5 * (len(self.go[at]) + 2)))
         return total / (len(s) + 1)
@@ -163,21 +169,24 @@ class Formats:
 
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]):
         self.ordinary = Automaton([shape(t) for t in ordinary]) if ordinary else None
-        self.kinds: list[tuple[Automaton, float]] = []
+        self.kinds: list[tuple[Automaton, float, float]] = []
         for kind in sorted(labelled):
             tokens = labelled[kind]
-            if len(tokens) < LEAST:
-                continue
-            model = Automaton([shape(t) for t in tokens])
-            scores = sorted(self._score(model, t) for t in tokens)
-            self.kinds.append((model, max(0.0, scores[int(MISS * len(scores))])))
+            if tokens:
+                model, weight = Automaton([shape(t) for t in tokens]), len(tokens) / (len(tokens) + SHRINK)
+                scores = sorted(weight * self._ratio(model, t) for t in tokens)
+                self.kinds.append((model, weight, max(FLOOR, scores[int(MISS * len(scores))])))
 
-    def _score(self, model: Automaton, token: str) -> float:
+    def _ratio(self, model: Automaton, token: str) -> float:
         s = shape(token)
-        return model.likelihood(s) - (self.ordinary.likelihood(s) if self.ordinary else -2.0)
+        return model.likelihood(s) - (self.ordinary.likelihood(s) if self.ordinary else UNSEEN / 2)
+
+    def score(self, token: str) -> float:
+        """How far the best format's score is above its threshold; 0 or more is a credential."""
+        return max((w * self._ratio(m, token) - t for m, w, t in self.kinds), default=-math.inf)
 
     def accepts(self, token: str) -> bool:
-        return any(self._score(m, token) >= t for m, t in self.kinds)
+        return self.score(token) >= 0
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -206,36 +215,43 @@ def _digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format for each document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format, n_spans, n_scored
+    (tokens scored) and top_score (the highest; null if none) for each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "secrets")
     found = scratch.write(_scan(docs), "found")
     first = lambda df, n: [r.v for r in df.distinct().orderBy(F.xxhash64("v"), "v").limit(n).collect()]
     values = found.select(F.explode("labelled").alias("v"))
     labelled = {k: [v[1:] for v in first(values.where(F.col("v").startswith(str(k))), sample)] for k in range(3)}
-    mixed = F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]")
     tokens = found.select(F.explode("tokens").alias("v"))
-    formats = spark.sparkContext.broadcast(Formats(labelled, first(tokens.where(~mixed), sample)))
+    formats = spark.sparkContext.broadcast(Formats(labelled, first(tokens, sample)))
 
     def run(batches):
         model, known = formats.value, {}
+
+        def score(token: str) -> float:
+            if token not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[token] = model.score(token)
+            return known[token]
+
+        kind = {"base_sha256": pa.string(), "spans": pa.string(), "top_score": pa.float64()}
         for batch in batches:
-            out = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format")}
-            for flat, spots, toks in zip(batch.column("base").to_pylist(), batch.column("spots").to_pylist(), batch.column("tokens").to_pylist()):
+            out = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format", "n_spans", "n_scored", "top_score")}
+            for flat, values, spots, toks in zip(*[batch.column(c).to_pylist() for c in ("base", "labelled", "spots", "tokens")]):
                 base = [(s, k, e) for k, s, e in zip(flat[::3], flat[1::3], flat[2::3])]
-                added = []
-                for s, e, t in zip(spots[::2], spots[1::2], toks):
-                    if t not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[t] = model.accepts(t)
-                    if known[t]:
-                        added.append((s, 3, e))
+                scores = [score(t) for t in toks]
+                added = [(s, 3, e) for s, e, x in zip(spots[::2], spots[1::2], scores) if x >= 0]
+                scores += [score(v[1:]) for v in values]
                 for k, n in enumerate(("n_assign", "n_access", "n_hex")):
                     out[n].append(sum(1 for x in base if x[1] == k))
                 out["base_sha256"].append(hashlib.sha256(_digest(base).encode()).hexdigest())
                 out["spans"].append(_digest(base + added))
                 out["n_format"].append(len(added))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n, v in out.items()]], names=["doc_id", *out])
+                out["n_spans"].append(len(base) + len(added))
+                out["n_scored"].append(len(scores))
+                out["top_score"].append(max((x for x in scores if x > -math.inf), default=None))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, kind.get(n, pa.int64())) for n, v in out.items()]], names=["doc_id", *out])
 
-    return found.select("doc_id", "base", "spots", "tokens").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return found.select("doc_id", "base", "labelled", "spots", "tokens").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, n_spans long, n_scored long, top_score double")
