@@ -9,7 +9,8 @@ on; the rest of a product is at most the product of the two suffix norms, and
 a block, or what is left of it, stops once no cosine in it can reach the
 threshold.  What remains is compared over all dimensions in double precision.
 
-Equal vectors are compared once and counted with their number.  Tiles send back
+A tile of many vectors is dealt in parts, each part of the held against each of
+the asking ones.  Equal vectors are compared once and counted with their number.  Tiles send back
 link counts and spanning stars, never pairs.
 
 Results for odd input: vectors that are null, empty, zero or hold a null or
@@ -42,6 +43,8 @@ STEPS = (0.125, 0.25, 0.5)
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Unit vectors of a list column, in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # Scaled first, so that squares of very small and very large components are finite.
+    flat = flat / np.abs(flat).max(axis=1, initial=0)[:, None]
     return flat / np.linalg.norm(flat, axis=1)[:, None]
 
 
@@ -86,7 +89,9 @@ def descend(tree, x: np.ndarray, rows: np.ndarray, reach: float, gaps: dict, pat
         new = gap.copy()
         new[rows] = np.where(here, gap[rows], np.maximum(gap[rows], np.abs(off)))
         total = sum((g[rows] ** 2 for k, g in gaps.items() if k != a), new[rows] ** 2)
-        descend(child, x, rows[total <= reach * reach], reach, {**gaps, a: new}, path * 2 + side, out)
+        # A vector on a cut is held on one side only.
+        near = total <= reach * reach if reach else here & (total == 0)
+        descend(child, x, rows[near], reach, {**gaps, a: new}, path * 2 + side, out)
 
 
 def linked(q: np.ndarray, x: np.ndarray, threshold: float):
@@ -117,6 +122,24 @@ def linked(q: np.ndarray, x: np.ndarray, threshold: float):
                         yield a + ii[good], b + jj[good]
 
 
+def _parts(distinct: DataFrame, basis: np.ndarray, tree) -> dict[int, int]:
+    """Parts of each tile that holds more than ``TILE_MOST`` vectors; the tree, built
+    from a bounded sample, bounds their number."""
+
+    def held(batches):
+        counts: dict[int, int] = {}
+        for batch in batches:
+            own: list = []
+            if batch.num_rows:
+                descend(tree, unit_rows(batch.column("embedding")) @ basis, np.arange(batch.num_rows), 0.0, {}, 1, own)
+            for tile, rows in own:
+                counts[tile] = counts.get(tile, 0) + len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["tile", "n"])
+
+    found = distinct.select("embedding").mapInArrow(held, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n"))
+    return {r.tile: math.ceil(r.n / TILE_MOST) for r in found.where(F.col("n") > TILE_MOST).collect()}
+
+
 def _one_length(distinct: DataFrame, dim: int, threshold: float, scratch: Scratch) -> DataFrame:
     """(rep, links, root) rows of the vectors of one length; several per rep."""
     spark = distinct.sparkSession
@@ -127,11 +150,14 @@ def _one_length(distinct: DataFrame, dim: int, threshold: float, scratch: Scratc
     size = min(TILE_MOST, max(TILE, n // TILES))
     depth = max(0, math.ceil(math.log2(max(1, n / size))))
     lead = max(1, min(dim, 16))
-    shared = spark.sparkContext.broadcast((basis, cuts(sample[:, :lead], depth)))
+    tree = cuts(sample[:, :lead], depth)
+    parts = _parts(distinct, basis[:, :lead], tree)
+    shared = spark.sparkContext.broadcast((basis, tree, parts))
+    kind = dict(distinct.dtypes)["embedding"]
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def deal(batches):
-        basis, tree = shared.value
+        basis, tree, parts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -141,11 +167,18 @@ def _one_length(distinct: DataFrame, dim: int, threshold: float, scratch: Scratc
             descend(tree, x, np.arange(len(x)), reach, {}, 1, near)
             for held, tiles in ((True, own), (False, near)):
                 for tile, rows in tiles:
-                    part = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), tile)), pa.array(np.full(len(rows), held)), *part.columns], names=["tile", "held", "rep", "mult", "embedding"])
+                    n = parts.get(tile, 1)
+                    share = batch.column("rep").to_numpy()[rows] % n
+                    for p in range(n):
+                        mine = rows[share == p]
+                        part = batch.take(pa.array(mine))
+                        # A part of the held meets every part of the asking vectors.
+                        for other in range(n if len(mine) else 0):
+                            cell = (p * n + other) if held else (other * n + p)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), tile)), pa.array(np.full(len(mine), cell)), pa.array(np.full(len(mine), held)), *part.columns], names=["tile", "cell", "held", "rep", "mult", "embedding"])
 
     def compare(table: pa.Table) -> pa.Table:
-        basis, _ = shared.value
+        basis = shared.value[0]
         table = table.combine_chunks()
         rep, mult = table.column("rep").to_numpy(), table.column("mult").to_numpy()
         held = table.column("held").to_numpy(zero_copy_only=False)
@@ -167,14 +200,16 @@ def _one_length(distinct: DataFrame, dim: int, threshold: float, scratch: Scratc
         some = count > 0
         return pa.table({"rep": np.concatenate([rep[a[some]], u]), "links": np.concatenate([count[some], np.zeros(len(u), np.int64)]), "root": pa.array(np.concatenate([rep[a[some]], v]))})
 
-    return distinct.mapInArrow(deal, "tile long, held boolean, rep long, mult long, embedding array<float>").groupBy("tile").applyInArrow(compare, "rep long, links long, root long")
+    return distinct.mapInArrow(deal, f"tile long, cell long, held boolean, rep long, mult long, embedding {kind}").groupBy("tile", "cell").applyInArrow(compare, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding)."""
     scratch = Scratch(vectors.sparkSession, "embeddings")
     finite = "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < float('infinity')) and exists(embedding, v -> v <> 0)"
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    # Components keep their own precision; products are in double precision.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     base = scratch.write(base.withColumn("usable", F.coalesce(F.expr(finite), F.lit(False))), "vectors")
     # A row number stands for a vector, so repeated and null ids stay apart.
     distinct = base.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))

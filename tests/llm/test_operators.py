@@ -62,6 +62,11 @@ def test_grammar_inference_finds_the_format_of_its_sample():
     assert sum(model.accepts(key()) for _ in range(100)) >= 90
     assert sum(model.accepts(word()) for _ in range(100)) == 0
     assert len(model.kinds[0][0].states) < 40
+    # What no state explains costs every symbol: garbage scores below a true key, longer garbage no better.
+    scores = [model.score(x) for x in ("Z" * 27, "Z" * 270, "a1" * 13)]
+    assert max(scores) < 0 <= model.score(key()) and model.kinds[0][0].likelihood("Z" * 270) <= model.kinds[0][0].likelihood("Z" * 27)
+    few = secrets.Formats({0: [key()]}, [word() for _ in range(400)])
+    assert len(few.kinds) == 1 and not few.accepts(word())
 
 
 def test_formats_score_whole_tokens():
@@ -124,6 +129,24 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_keep_double_precision(spark):
+    data = [(0, [1e-50] * 4), (1, [1e-50] * 4), (2, [1e300, -1e300]), (3, [1e300, -1e300]), (4, [2e300, -1.9e300]), (5, [1.0, 1e-9])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (2, 2), 3: (2, 2), 4: (2, 2), 5: (0, 5)}
+
+
+def test_embeddings_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE_MOST", 20)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1, 8)) + rng.normal(size=(80, 8)) * 0.1, rng.normal(size=(60, 8))])
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = u @ u.T >= 0.95
+    label = components(len(x), [(i, j) for i, j in zip(*np.nonzero(hit)) if i != j])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {i: (hit[i].sum() - 1, label[i]) for i in range(len(x))}
+
+
 def test_embedding_tiles_prune_without_loss():
     rng = np.random.default_rng(2)
     base = rng.normal(size=(40, 32))
@@ -315,10 +338,52 @@ def test_html_blocks():
     <article><h1>Head &amp;  line</h1><p>One<br>two <b>bold</b><p>Three&nbsp;four<script>var a = "</p>";</script><form>Name</form>
     <aside>Side</aside><div id="comments"><p>Great post</p></div></article><div class="ad">Buy</div><footer>&copy; 2020</footer></body></html>"""
     assert [t for _, t in html.blocks(page)] == ["Head & line", "One two bold", "Three four"]
-    assert html.blocks(None) == [] and html.blocks("") == [] and html.blocks("<") == [("", "<")]
+    assert html.blocks(None) == [] and html.blocks("") == [] and html.blocks("<") == [(0, "<")]
     assert [t for _, t in html.blocks("<p>a" * 3000)] == ["a"] * 3000
 
 
+def test_html_odd_markup():
+    texts = lambda page: [t for _, t in html.blocks(page)]
+    assert texts("<article>" + "İ" * 40 + "<script>x</SCRIPT ><p>rest</p></article>") == ["İ" * 40, "rest"]
+    assert texts('<article><div class="post-header"><h1>Head</h1></div><section class="social-science"><p id="related-work">Body</p></section></article>') == ["Head", "Body"]
+    assert texts('<div class="site-header">Site</div><div class="ad-slot">Buy</div><p hidden>no</p><p aria-hidden="true">no</p><p data-hidden="x">yes</p>') == ["yes"]
+    assert texts("<article><p>one <object>flash <p>two</p></article><p>three</p>") == ["one", "two", "three"]
+    assert texts("<div><select><option>a</div><p>after</p>") == ["after"]
+    assert texts("<p>a</b>b</p></div>c</nope><style>p{}") == ["ab", "c"]
+    deep = "<div>" * 20000 + "core" + "</div>" * 20000
+    assert texts(deep) == ["core"] and texts("<b>" * 20000 + "<p>x</p>" * 2000) == ["x"] * 2000
+    assert texts("<p>" + "word " * 200000 + "</p>") == [("word " * 200000).strip()]
+
+
+def host_template(pages):
+    """Texts of each page without those of the host's template, by definition."""
+    cut = [html.blocks(p) for p in pages]
+    different = {tuple(c) for c in cut if c}
+    on = {}
+    for c in different:
+        for b in set(c):
+            on.setdefault(b, set()).add(c)
+    n = len(different)
+    fixed = {b for b, where in on.items() if n >= 3 and (len(where) == n or len(where) >= 8 and 2 * len(where) > n)}
+    return ["\n".join(t for p, t in c if (p, t) not in fixed) for c in cut]
+
+
+def test_html_templates_by_definition(spark):
+    rng = random.Random(8)
+    data = []
+    for host in range(6):
+        for k in range((1, 2, 3, 9, 16, 30)[host]):
+            parts = ["Always here"] + [f"slot {host} {k} {j}" for j in range(rng.randint(0, 4))] + ["Part time"] * (rng.random() < 0.7) + ["Rare"] * (rng.random() < 0.2)
+            rng.shuffle(parts)
+            data.append((len(data), f"https://h{host}.example/{k}", "".join(f"<{rng.choice(['p', 'div'])}>{p}" for p in parts)))
+    data += [(1000 + i, u, h) for i, u, h in data[::7]]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for host in range(6):
+        rows = [(i, h) for i, u, h in data if u.startswith(f"https://h{host}.")]
+        for (i, _), want in zip(rows, host_template([h for _, h in rows])):
+            assert got[i] == want
+
+
 def test_html_template_slots(spark):
     page = lambda k: f"""<body><div class="top">Shop</div><div class="wrap"><div class="left">Sale now on</div>
     <div class="text"><p>{'story %d ' % k * 40}</p><p>{'more %d ' % k * 30}</p></div></div></body>"""
