@@ -7,30 +7,29 @@ executor costs a re-read, never a recomputation of what came before.
 
 from __future__ import annotations
 
-import gc
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; a folder of our own only where none is set and
+    everything runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexiweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished plans, which it does once
-    the driver's garbage is collected; events that have not been told to Spark's
-    listeners yet still hold a plan, so they go first."""
-    gc.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    spark.sparkContext._jvm.System.gc()
+#: Spark deletes the shuffle files of a query as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -42,12 +41,16 @@ class Scratch:
         self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the frame that reads it back; shuffle
-        files of the plan that made it can go."""
+        """Write ``df`` once and return the frame that reads it back; the shuffle
+        files of the plan that made it go, as nothing else reads them."""
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        free(self.spark)
+        before = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -74,6 +77,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def replace_column(df: DataFrame, name: str, value) -> DataFrame:
-    """``df`` with one column replaced and the column order kept."""
-    return df.select(*[value.alias(name) if c == name else F.col(f"`{c}`") for c in df.columns])
+def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on documents that returns their columns: whatever these are called,
+    they do not clash with the operator's own names."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = docs.columns
+        plain = [n if n in ("doc_id", "text", "lang") else f"c{k}" for k, n in enumerate(names)]
+        return operator(docs.toDF(*plain), *args, **kwargs).toDF(*names)
+
+    return run

@@ -13,7 +13,6 @@ by :func:`contamination` and kept by :func:`decontaminate`.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -22,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, texts
+from .common import arrow_rows, own_names, texts
 
 WINDOW = 10
 #: Item words in one broadcast automaton; larger benchmarks run as several passes.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 #: A document whose hit words exceed this share goes as a whole; else only its spans go.
 MAX_COVERAGE = 0.5
 
@@ -216,6 +215,7 @@ def cut_words(text: str, runs: list[int]) -> str:
     return "".join(out)
 
 
+@own_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` without benchmark spans: a document whose hit words exceed
     ``max_coverage`` of its words goes; of the rest only the hit runs are cut."""
@@ -235,8 +235,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).take(pa.array(keep, pa.int64()))
 
     return got.mapInArrow(cut, schema).select(*[F.col(f"`{c}`") for c in names])
-
-
-def items_digest(items: list[str]) -> str:
-    """The digest of a list of item ids."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, own_names
 
 #: Expected labelled documents per language in the training sample.
 SAMPLE_DOCS = 1500
@@ -174,6 +174,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+@own_names
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that have no letter or no language above ``min_score``."""
     names = docs.columns

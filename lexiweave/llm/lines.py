@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, texts
+from .common import Scratch, arrow_rows, own_names, texts
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -242,6 +242,7 @@ def _kept(docs: DataFrame, similarity: float) -> DataFrame:
     return df.select("row", "drop", F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(F.expr(kept)).alias("kept"))
 
 
+@own_names
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that repeat or nearly repeat an earlier one."""
     out = _kept(docs, similarity)

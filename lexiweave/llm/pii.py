@@ -124,7 +124,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     held = F.getbit(F.get(F.lit(np.array(bits, np.int64)), F.shiftright(cell, 5).cast("int")), cell.bitwiseAND(F.lit(31)).cast("int"))
     words = texts(docs).select(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w"))
     pairs = words.select(F.explode(_pairs()).alias("pattern")).where(held == 1)
-    return pairs.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")
+    return pairs.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern")
 
 
 def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch, least_values: int) -> DataFrame:
@@ -147,11 +147,11 @@ def _trusted(docs: DataFrame, found: DataFrame, scratch: Scratch, least_values:
     return scored.where(F.col("trust") >= CONFIDENT).select("pattern")
 
 
-def _marked(found: DataFrame, trusted: DataFrame) -> DataFrame:
+def _marked(found: DataFrame, trusted: DataFrame, scratch: Scratch) -> DataFrame:
     """row, added: the tokens behind trusted patterns that no rule's span meets."""
     places = found.select("row", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("w")).select("row", F.posexplode(_pairs()).alias("at", "pattern"))
     places = places.join(trusted, "pattern", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    df = places.join(found.select("row", "text", "base"), "row")
+    df = scratch.write(places, "places").join(found.select("row", "text", "base"), "row")
     pieces = F.regexp_extract_all("text", F.lit(rf"(?:{TOKEN})\s*+"), F.lit(0))
     df = df.withColumn("pieces", pieces).withColumn("lead", F.length(F.regexp_extract("text", r"\A\s*+", 0)).cast("long"))
     # The token behind place k starts where its first k + 2 pieces end.
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, least_values: int = LEAST_VALUES) -> DataFrame:
     df = df.select("doc_id", "text", F.expr(plain).alias("base"), _contexts("base").alias("seeds"), _contexts("unknown").alias("others"))
     found = scratch.write(df.withColumn("row", F.monotonically_increasing_id()), "spans")
     trusted = _trusted(docs, found, scratch, least_values)
-    added = scratch.write(_marked(found, trusted), "added")
+    added = scratch.write(_marked(found, trusted, scratch), "added")
     empty = F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint>>)")
     out = found.select("row", "doc_id", "base").join(added, "row", "left").withColumn("added", F.coalesce("added", empty))
     out = out.withColumn("every", F.array_sort(F.concat("base", "added")))

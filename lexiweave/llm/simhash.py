@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, texts
+from .common import Scratch, arrow_rows, own_names, texts
 from .components import connected_components, local_forest
 
 MAX_BITS = 4
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@own_names
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest
     doc_id (one row of it, should the id repeat); columns as they were."""
