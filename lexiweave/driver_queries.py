@@ -116,9 +116,8 @@ def _text_rows(s, d):
 
 
 def _source_rows(s, d):
-    entries = lexicon.text_frame(s.createDataFrame([("t", LEXICON_TEXT.replace("gone\t\n", ""))], "lexicon string, value string"))
-    kept = entries.withColumn("candidates", F.filter("candidates", lambda v: v != ""))
-    return kept.select("key", F.array_join("candidates", "|").alias("candidates"), F.size("candidates").cast("long").alias("n"))
+    entries, _ = lexicon.parse_source(LEXICON_TEXT.replace("gone\t\n", ""))
+    return s.createDataFrame([(k, "|".join(v), len(v)) for k, v in entries], "key string, candidates string, n long")
 
 
 ORDER = ["\ue000", "𐈀", "z", "é", "中", "ab", "a"]
@@ -126,8 +125,8 @@ ORDER = ["\ue000", "𐈀", "z", "é", "中", "ab", "a"]
 
 def _ordered(s, d):
     lex = s.createDataFrame([("o", k, ["v"]) for k in ORDER], "lexicon string, key string, candidates array<string>")
-    groups = lookup.group_index(lex)
-    return groups.select(F.col("code_point").cast("long").alias("code_point"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+    keys = [r.key for r in lexicon.ordered(lex).collect()]
+    return s.createDataFrame([(ord(k[0]), n) for n, k in enumerate(keys)], "code_point long, rn long").groupBy("code_point").agg(F.min("rn").alias("start"), F.count("*").alias("size"))
 
 
 def _corpus(s, d):

@@ -35,11 +35,21 @@ def audit(lexicon: DataFrame) -> DataFrame:
 
 
 def compare(left: DataFrame, right: DataFrame, samples: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(comparisons, mismatches) and the first differing rows of (id, output) frames."""
-    both = left.select("id", F.col("output").alias("a")).join(right.select("id", F.col("output").alias("b")), "id")
+    """(comparisons, mismatches) and the first differing rows (id, a, b) of (id, output)
+    frames; an id on one side only is a mismatch.
+
+    Ids meet with 128-bit digests of the outputs; texts are fetched for the samples only."""
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        known = F.struct(F.col("output").isNull().alias("none"), F.xxhash64("output").alias("x"), F.xxhash64(F.lit(1), "output").alias("y"))
+        return df.select("id", known.alias(name))
+
+    both = digests(left, "a").join(digests(right, "b"), "id", "full")
     differs = ~F.col("a").eqNullSafe(F.col("b"))
     tally = both.agg(F.count("*").alias("comparisons"), F.count_if(differs).alias("mismatches"))
-    return tally, both.where(differs).orderBy("id").limit(samples)
+    first = both.where(differs).select("id").orderBy("id").limit(samples)
+    found = first.join(left.select("id", F.col("output").alias("a")), "id", "left").join(right.select("id", F.col("output").alias("b")), "id", "left")
+    return tally, found.orderBy("id")
 
 
 def first_difference(a: Column, b: Column) -> Column:
@@ -71,10 +81,13 @@ def golden_failures(results: DataFrame, registered: DataFrame) -> DataFrame:
 def percentiles(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """min, p50, p90 by nearest rank: the sample at index int((n - 1) * p).
 
-    Ranks come from a window and each pick from an aggregate, so no array holds a group."""
+    Equal samples are counted before the shuffle; ranks are running sums of the counts."""
+    counts = samples.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys)
-    at = samples.select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
-    pick = lambda p: F.max(F.when(F.col("_k") == F.floor((F.col("_n") - 1) * F.lit(p)), F.col(value)))
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = counts.select(*keys, value, "_c", upto.alias("_upto"), F.sum("_c").over(w).alias("_n"))
+    rank = lambda p: F.floor((F.col("_n") - 1) * F.lit(p))
+    pick = lambda p: F.max(F.when((F.col("_upto") > rank(p)) & (F.col("_upto") - F.col("_c") <= rank(p)), F.col(value)))
     return at.groupBy(*keys).agg(F.min(value).alias("min"), pick(0.5).alias("p50"), pick(0.9).alias("p90"))
 
 

@@ -139,9 +139,9 @@ def segment(c: str | Column, plan) -> Column:
 
 
 def inspect(c: str | Column, plan) -> Column:
-    """Struct of the input, the segments after every stage, and the output."""
+    """Struct of the input, the segments after every stage, and the output; NULL for NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    return _program_udf(as_converter(plan), "inspect", INSPECTION)(c)
+    return F.when(c.isNotNull(), _program_udf(as_converter(plan), "inspect", INSPECTION)(c))
 
 
 def candidates(c: str | Column, plan) -> Column:

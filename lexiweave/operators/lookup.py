@@ -26,10 +26,15 @@ def group_exact(texts: DataFrame, column: str, group: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:
-    """Every key a text begins with: an equi-join on the first character, then a prefix test."""
-    lex = lexicon.where("key <> ''").withColumnRenamed("key", "_key").withColumn("_first", F.substring("_key", 1, 1))
-    joined = texts.withColumn("_first", F.substring(column, 1, 1)).join(lex, "_first")
-    return joined.where(F.col(column).startswith(F.col("_key"))).drop("_first")
+    """Every key a text begins with: an equi-join of the keys and the texts' prefixes
+    of the lengths that keys have (as many as the longest key has characters, at most)."""
+    lex = lexicon.where("key <> ''").withColumnRenamed("key", "_key")
+    sizes = sorted(r.n for r in lex.select(F.length("_key").alias("n")).distinct().collect())
+    if not sizes:
+        return texts.join(lex, F.lit(False))
+    fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length(column))
+    starts = texts.withColumn("_key", F.explode(F.transform(fitting, lambda n: F.substring(F.col(column), F.lit(1), n))))
+    return starts.join(lex, "_key")
 
 
 def longest_prefix(texts: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:

@@ -19,6 +19,14 @@ def strip_comments(text: str) -> str:
     return _STRIP.sub(lambda m: m[0] if m[0][0] == '"' else re.sub(r"[^\n]", " ", m[0]), text)
 
 
+_TRAILING = re.compile(r'"(?:[^"\\]|\\.)*"|,(?=\s*[\]}])', re.S)
+
+
+def parse_json(text: str, **options):
+    """JSON that may hold comments and a comma behind the last item."""
+    return json.loads(_TRAILING.sub(lambda m: m[0] if m[0][0] == '"' else " ", strip_comments(text)), **options)
+
+
 class _Members(dict):
     """An object that keeps first occurrences and remembers a repeated key."""
 
@@ -35,7 +43,7 @@ class _Members(dict):
 def read(text: str) -> dict:
     """The document as nested objects."""
     try:
-        got = json.loads(strip_comments(text), object_pairs_hook=_Members)
+        got = parse_json(text, object_pairs_hook=_Members)
     except json.JSONDecodeError as e:
         raise InvalidConfig(str(e)) from e
     if not isinstance(got, dict):

@@ -10,22 +10,48 @@ from pyspark.sql import functions as F
 from ..errors import InvalidFormat
 from ..functions.columns import fnv1a64
 from ..functions.text import escape, fnv1a64 as fnv, hex64
+from ..plans.config import parse_json
 
 #: Longest input of a hex corpus, in bytes.
 MOST_BYTES = 512
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
-    """id, input, stem, expected: one row for each expectation of each case."""
-    raw = spark.read.schema("cases array<struct<id:string,input:string,expected:map<string,string>>>").json(path, multiLine=True)
-    case = raw.select(F.explode("cases").alias("c"))
-    return case.select("c.id", "c.input", F.explode("c.expected").alias("stem", "expected"))
+    """id, input, stem, expected: one row for each expectation of each case.
+
+    A corpus is a fixture of bounded size, read as a whole: JSON that may hold
+    comments and trailing commas.  A file that is none, and a case without a
+    string id and input, are refused."""
+    rows = []
+    for file in spark.read.text(path, wholetext=True).collect():
+        try:
+            cases = parse_json(file.value)["cases"]
+            for c in cases:
+                fields = (c["id"], c["input"], *c["expected"], *c["expected"].values())
+                if not all(isinstance(x, str) for x in fields):
+                    raise InvalidFormat(f"a golden case holds strings only: {c['id']}")
+                rows += [(c["id"], c["input"], stem, text) for stem, text in c["expected"].items()]
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise InvalidFormat(f"not a golden corpus: {e!r}") from e
+    return spark.createDataFrame(rows, "id string, input string, stem string, expected string")
+
+
+def stem_states(cases: DataFrame, ported: list[str], unported: list[str]) -> DataFrame:
+    """stem, state: ``unported`` (expected by a case, neither ported nor registered as
+    unported) or ``stale`` (registered as unported, but ported or in no case)."""
+    stems = cases.groupBy("stem").agg(F.count("*").alias("n"))
+    registered = cases.sparkSession.createDataFrame([(s,) for s in sorted(set(unported))], "stem string").withColumn("known", F.lit(True))
+    both = stems.join(registered, "stem", "full")
+    is_ported = F.col("stem").isin(list(ported))
+    state = F.when(F.col("known") & (is_ported | F.col("n").isNull()), "stale").when(F.col("known").isNull() & ~is_ported, "unported")
+    return both.select("stem", state.alias("state")).where("state is not null")
 
 
 def fuzz(spark: SparkSession, path: str) -> DataFrame:
-    """input: one JSON string per line."""
-    line = spark.read.text(path).where(F.trim("value") != "")
-    return line.select(F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("input"))
+    """input: one JSON string per line; a line that is none fails the query."""
+    line = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    text = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]
+    return line.select(F.when(F.col("value").rlike('(?s)^".*"$') & text.isNotNull(), text).otherwise(F.raise_error(F.concat(F.lit("not a JSON string: "), "value"))).alias("input"))
 
 
 def hex_corpus(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexiweave.errors import InvalidFormat
 from lexiweave import driver_queries, errors
 from lexiweave.operators import compare, derive, lookup
 from lexiweave.plans.model import Leaf
@@ -133,6 +134,30 @@ def test_lookup(spark):
     assert tuple(row) == (1, -1, True, True, [1, 2, 5, 9])
 
 
+def test_golden_corpora_are_strict(spark, tmp_path):
+    path = tmp_path / "g.json"
+    path.write_text('{ // cases\n"cases": [{"id": "1", "input": "a,]", "expected": {"s2t": "A", "x": "B",},},], /* end */ }')
+    cases = corpus.golden(spark, str(path))
+    assert sorted(map(tuple, cases.collect())) == [("1", "a,]", "s2t", "A"), ("1", "a,]", "x", "B")]
+    assert sorted(map(tuple, corpus.stem_states(cases, ["s2t"], []).collect())) == [("x", "unported")]
+    assert sorted(map(tuple, corpus.stem_states(cases, ["s2t"], ["x", "s2t", "gone"]).collect())) == [("gone", "stale"), ("s2t", "stale")]
+    for bad in ("no json", '{"cases": [{"id": 1, "input": "a", "expected": {}}]}', '{"cases": [{"input": "a"}]}', "[]"):
+        path.write_text(bad)
+        with pytest.raises(InvalidFormat):
+            corpus.golden(spark, str(path))
+    for bad in ("123", "{", '"a', '"a" x'):
+        (tmp_path / "bad.jsonl").write_text(f'"fine"\n{bad}\n')
+        with pytest.raises(Exception, match="not a JSON string"):
+            corpus.fuzz(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_compare_counts_ids_on_one_side(spark):
+    side = lambda rows: spark.createDataFrame(rows, "id string, output string")
+    tally, first = compare.compare(side([("1", "a"), ("2", "b"), ("3", None), ("5", "")]), side([("1", "a"), ("3", None), ("4", "d"), ("5", None)]))
+    assert tuple(tally.first()) == (5, 3)
+    assert [tuple(r) for r in first.collect()] == [("2", "b", None), ("4", None, "d"), ("5", "", None)]
+
+
 def test_corpora(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"cases": [{"id": "1", "input": "a", "expected": {"s2t": "A", "t2s": "B"}}]}')
     assert sorted(map(tuple, corpus.golden(spark, str(tmp_path / "g.json")).collect())) == [("1", "a", "s2t", "A"), ("1", "a", "t2s", "B")]
