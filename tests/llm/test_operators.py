@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -252,6 +253,52 @@ def test_language(docs):
     assert language.predictions(empty(docs)).count() == 0
 
 
+def back_off(learned, text):
+    """(language, score) of a text by definition, from the (lang, text) learned."""
+    split = lambda x: re.findall(r"[^\W\d_]+", (x or "").lower())
+    words = {lang: Counter() for lang, _ in learned}
+    for lang, x in learned:
+        words[lang].update(split(x))
+    words = {lang: {w: n for w, n in c.items() if n >= 2} for lang, c in words.items()}
+    parts = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    tables = {0: words}
+    for n in range(1, 5):
+        tables[n] = {lang: Counter() for lang in words}
+        for lang, c in words.items():
+            for w, k in c.items():
+                for g in parts(w, n):
+                    tables[n][lang][g] += k
+    known = {n: {x for t in table.values() for x in t if sum(u.get(x, 0) for u in table.values()) >= 2} for n, table in tables.items()}
+    log = lambda n, lang, x: math.log((tables[n][lang].get(x, 0) + 0.1) / (max(1, sum(tables[n][lang].values())) + 0.1 * (len(known[n]) + 1)))
+
+    def word(w, lang):
+        if w in known[0]:
+            return log(0, lang, w)
+        for n in range(4, 0, -1):
+            hits = [log(n, lang, g) for g in parts(w, n) if g in known[n]]
+            if hits:
+                return sum(hits) / len(hits) + math.log(0.4) * (4 - n)
+        return 0.0
+
+    ws = split(text)
+    if not ws or not words:
+        return "und", 0.0
+    mean = {lang: sum(word(w, lang) for w in ws) / len(ws) for lang in sorted(words)}
+    best = max(mean, key=lambda x: mean[x])
+    return best, 1 / sum(math.exp(m - mean[best]) for m in mean.values())
+
+
+def test_language_by_definition(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ein", "und", "ra"], "cc": ["é", "oux", "tion", "mi"]}
+    text = lambda s: " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 12)))
+    data = [(k, text(syllables[lang]), lang) for k in range(40) for lang in [rng.choice("abc") * 2]]
+    data += [(100, None, "aa"), (101, "12 34", "bb"), (102, "KATO kato, zzz!", None), (103, "", None), (104, "ra ra ra", None), (104, "ra ra ra", None)]
+    learned = [(lang, t) for i, t, lang in data if lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predictions(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect())
+    assert got == Counter((i, p, round(s, 9)) for i, t, _ in data for p, s in [back_off(learned, t)])
+
+
 def test_lines(docs, rows):
     got = {(r.doc_id, r.kept_sha256): r for r in lines.report(docs).collect()}
     near = [(10**9 + k, " ".join(f"w{j if j != 7 * k else 900 + k}" for j in range(80))) for k in range(4)]

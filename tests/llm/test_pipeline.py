@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -25,6 +26,30 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == out.count()
 
 
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    real = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang")
+    odd = [(900001, None, None), (900002, "", "en"), (None, "a text without an id and some more words to fill the row", "en"), (900005, "tie tie tie tie", "en"), (900005, "tie tie tie tie", "en"), (None, None, None), (900006, "word " * 20000, "en")]
+    clash = ["__fp", "__row", "__lang", "__runs", "__drop", "token", "id", "c0", "ids", "a b`c"]
+    docs = real.union(spark.createDataFrame(odd, real.schema))
+    for k, n in enumerate(clash):
+        docs = docs.withColumn(n.replace("`", ""), F.lit(k))
+    for start in (docs, docs.where("false")):
+        start.write.mode("overwrite").parquet(f"{tmp_path}/start")
+        held = spark.read.parquet(f"{tmp_path}/start")
+        names, count = held.columns, held.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, held, DATA)
+            out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            out = spark.read.parquet(f"{tmp_path}/{name}")
+            if name != "packing":
+                assert out.columns == names and out.count() <= count
+                held, count = out, out.count()
+                assert all(r[n.replace("`", "")] == k for r in held.collect() for k, n in enumerate(clash))
+        ids = [r.doc_id for r in held.select("doc_id").collect()]
+        plain = lambda i: -1 if i is None else i
+        assert sorted(plain(r.doc_id) for r in out.where("start = 0").collect()) == sorted(map(plain, ids))
+
+
 @pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op10_benchmark_decontamination"])
 def test_sql(spark, name):
     con = duckdb.connect()
