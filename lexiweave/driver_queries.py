@@ -164,10 +164,9 @@ def _closure(s, d):
 
 
 def _drift(s, d):
-    c = _table(s, d, "customer")
-    before = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_mktsegment").alias("content"))
-    after = c.where("c_custkey % 11 <> 0").select(F.col("c_custkey").cast("string").alias("path"), F.when(F.col("c_custkey") % 5 == 0, "CHANGED").otherwise(F.col("c_mktsegment")).alias("content"))
-    return sinks.drift(before, after)
+    rows = lambda name, mark, key, content: _table(s, d, name).select(F.concat(F.lit(mark), key).alias("path"), F.col(content).cast("string").alias("content"))
+    expected = rows("supplier", "k", "s_suppkey", "s_nationkey").union(rows("nation", "n", "n_nationkey", "n_regionkey"))
+    return sinks.drift(expected, rows("customer", "k", "c_custkey", "c_nationkey"))
 
 
 def _stats(s, d):
@@ -359,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "g2_tofu": literal + "('后', '後'), ('发', '发发')) t(key, candidates)",
         "g3_regional": f"SELECT key, key AS candidates FROM {names} WHERE length(key) >= 3",
         "g7_closure": "SELECT coalesce(CAST(d.doc_id AS VARCHAR), CAST(l.doc_id AS VARCHAR)) AS name, CASE WHEN l.doc_id IS NULL THEN 'not generated' ELSE 'not referenced' END AS state FROM (SELECT DISTINCT doc_id FROM documents) d FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
-        "k5_drift": "SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 11 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'stale' ELSE 'different' END AS state FROM customer WHERE (c_custkey % 7 <> 0 AND c_custkey % 11 = 0) OR (c_custkey % 7 = 0 AND c_custkey % 11 <> 0) OR (c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 5 = 0 AND c_mktsegment <> 'CHANGED')",
+        "k5_drift": "WITH e AS (SELECT 'k' || s_suppkey AS path, CAST(s_nationkey AS VARCHAR) AS content FROM supplier UNION ALL SELECT 'n' || n_nationkey, CAST(n_regionkey AS VARCHAR) FROM nation), f AS (SELECT 'k' || c_custkey AS path, CAST(c_nationkey AS VARCHAR) AS content FROM customer) SELECT coalesce(e.path, f.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'stale' ELSE 'different' END AS state FROM e FULL JOIN f ON e.path = f.path WHERE e.path IS NULL OR f.path IS NULL OR e.content <> f.content",
         "q3_stats": f"WITH k AS (SELECT key, unicode(key) AS cp FROM {names}), g AS (SELECT cp, count(*) AS n FROM k GROUP BY cp) SELECT 'parts' AS lexicon, (SELECT count(*) FROM k) AS entries, (SELECT CAST(sum(strlen(key)) AS BIGINT) FROM k) AS key_bytes, count(*) AS starts, max(n) AS largest_group, CAST((SELECT cp FROM g ORDER BY n DESC, cp LIMIT 1) AS BIGINT) AS largest_start, CAST(sum(CASE WHEN cp > 65535 THEN n ELSE 0 END) AS BIGINT) AS astral_starts, (SELECT count(*) FROM k) AS candidates, CAST(1 AS BIGINT) AS most_candidates, CAST(0 AS BIGINT) AS multi_candidates FROM g",
         "x1_compare": f"WITH t AS (SELECT {_apply('text', longest(PHRASE | OTHER) + char)} AS a, {runs} AS b FROM documents) SELECT count(*) AS comparisons, count(*) FILTER (WHERE a IS DISTINCT FROM b) AS mismatches FROM t",
         "x1_changes": f"SELECT count(*) AS comparisons, CAST(sum(CASE WHEN text <> {chain} THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM documents",

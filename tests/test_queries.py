@@ -6,7 +6,7 @@ import pytest
 from lexiweave import driver_queries
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "part", "events", "documents", "benchmark", "labels", "conversations"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "events", "documents", "benchmark", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
