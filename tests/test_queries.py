@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 
-from lexiweave import driver_queries
+from lexiweave import detail_queries, driver_queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = driver_queries.queries() | detail_queries.queries()
+ORACLES = driver_queries.oracle_sql() | detail_queries.oracle_sql()
 TABLES = ["region", "nation", "customer", "supplier", "part", "events", "documents", "benchmark", "labels", "conversations"]
 
 
@@ -17,9 +19,9 @@ def con():
     return made
 
 
-@pytest.mark.parametrize("name", sorted(driver_queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
-    want = con.sql(driver_queries.oracle_sql()[name])
-    got = driver_queries.queries()[name](spark, DATA)
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
