@@ -71,7 +71,41 @@ k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN k ON k.x = vec_id"""
 
+_BLANK = "chr(32) || chr(9) || chr(13) || chr(11) || chr(12)"
+
+_OP6 = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+l AS (SELECT *, trim(lower(line), {_BLANK}) AS norm FROM p),
+u AS (SELECT norm, row_number() OVER (ORDER BY min((doc_id, pos))) AS id, min((doc_id, pos)) AS place FROM l WHERE norm <> '' GROUP BY norm),
+t AS (SELECT DISTINCT id, array_to_string(w[s:s + 4], ' ') AS token FROM (
+    SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM (SELECT id, string_split(norm, ' ') AS w FROM u))),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+c AS (SELECT x.id AS id, y.id AS other, count(*) AS c FROM t x JOIN t y ON x.token = y.token AND y.id < x.id GROUP BY ALL),
+near AS (SELECT DISTINCT c.id FROM c JOIN n a ON a.id = c.id JOIN n b ON b.id = c.other WHERE 9 * c >= 4 * (a.n + b.n)),
+g AS (SELECT l.doc_id, l.pos, l.line, l.norm <> '' AND ((l.doc_id, l.pos) <> u.place OR near.id IS NOT NULL) AS gone
+    FROM l LEFT JOIN u ON u.norm = l.norm LEFT JOIN near ON near.id = u.id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM g GROUP BY doc_id"""
+
+# Blocks of 1,000 windows first, as cutting each window out of a long text is quadratic.
+_OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2098) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS c FROM d)),
+w AS (SELECT doc_id, 1000 * c + s AS s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, c, h, unnest(range(0, len(h) // 2 - 49)) AS s FROM b WHERE len(h) >= 100)),
+m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+hit AS (SELECT doc_id, s FROM w JOIN m ON m.g = w.g WHERE low < doc_id),
+e AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM e),
+r AS (SELECT doc_id, k, min(s) AS a, max(s) + 50 AS z FROM i GROUP BY doc_id, k),
+q AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM r),
+o AS (SELECT d.doc_id, any_value(h) AS h, sum(z - a) AS removed, count(z) AS spans, coalesce(max(z), 0) AS rest,
+    coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k), '') AS kept FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+    sha256(unhex(kept || substr(h, 2 * rest + 1))) AS kept_sha256 FROM o"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op2_embedding_near_dedup": _OP2, "op10_benchmark_decontamination": _OP10}
+    return {"op2_embedding_near_dedup": _OP2, "op6_line_dedup": _OP6, "op9_suffix_array_dedup": _OP9, "op10_benchmark_decontamination": _OP10}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from lexiweave.llm import queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -50,7 +51,7 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
         assert sorted(plain(r.doc_id) for r in out.where("start = 0").collect()) == sorted(map(plain, ids))
 
 
-@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op10_benchmark_decontamination"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):
