@@ -29,8 +29,8 @@ from .common import Scratch, arrow_rows, texts
 
 SEQUENCE = 4096
 END_ID = 2
-#: Entries of each half of a worker's table of ids; the older half goes when the newer is full.
-CACHE_WORDS = 500_000
+#: Entries of each half of a task's table of ids; the older half goes when the newer is full.
+CACHE_WORDS = 200_000
 
 
 #: The vocabulary's words in printable lower-case ASCII (a fixed value).
@@ -128,17 +128,6 @@ class WordCache:
         return ids[at], done[cut[1:] - cut[0] + np.arange(len(texts))]
 
 
-#: The table of this worker process, kept from task to task.
-_HELD: dict[str, WordCache] = {}
-
-
-def _cache(model: str) -> WordCache:
-    if model not in _HELD:
-        _HELD.clear()
-        _HELD[model] = WordCache(model)
-    return _HELD[model]
-
-
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part, start (tokens before it in its partition), n, ids (binary)."""
     spark = docs.sparkSession
@@ -147,7 +136,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        cache, part, start = _cache(model.value), TaskContext.get().partitionId(), 0
+        cache, part, start = WordCache(model.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, ends = cache.encode(batch.column("text"), end_id)
             n = np.diff(ends, prepend=0)
