@@ -168,33 +168,39 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` and its hit runs: ``__n_words``, ``__runs`` (flat word positions) and
-    ``__items`` (ids as strings).  One narrow pass for each block of the benchmark."""
+def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, schema: T.StructType, finish) -> DataFrame:
+    """``docs`` in one narrow pass: ``finish`` makes of each batch and its hits, (words,
+    flat runs of word positions, item ids as strings) by row, a batch of ``schema``.
+    A document is cut into words once, whatever the number of blocks."""
     spark = docs.sparkSession
     arrow_rows(spark)
-    out = docs.select("*", F.lit(None).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__runs"), F.array().cast("array<string>").alias("__items"))
-    schema = out.schema
-    for automaton in _blocks(benchmark, window):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def one(batches, shared=shared):
-            model = shared.value
-            for batch in batches:
-                n_words, all_runs, all_items = [], [], []
-                old_runs, old_items = batch.column("__runs").to_pylist(), batch.column("__items").to_pylist()
-                for k, text in enumerate(batch.column("text")):
-                    ws = words_of(text.as_py())
-                    runs, items = model.scan(ws)
-                    before = list(zip(old_runs[k][::2], old_runs[k][1::2]))
-                    n_words.append(len(ws))
-                    all_runs.append([x for r in (_merge(before + runs) if before else runs) for x in r])
-                    all_items.append(sorted({*old_items[k], *items} - {None}))
-                keep = [batch.column(i) for i in range(batch.num_columns - 3)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(n_words, pa.int64()), pa.array(all_runs, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))], names=batch.schema.names)
-
-        out = out.mapInArrow(one, T.StructType([*schema.fields]))
-    return out
+    shared = [spark.sparkContext.broadcast(a) for a in _blocks(benchmark, window)]
+
+    def run(batches):
+        models = [b.value for b in shared]
+        for batch in batches:
+            hits = []
+            for text in batch.column("text"):
+                ws = words_of(text.as_py())
+                found = [m.scan(ws) for m in models]
+                runs = _merge([r for rs, _ in found for r in rs])
+                items = set().union(*(i for _, i in found)) - {None}
+                hits.append((len(ws), [x for r in runs for x in r], sorted(items)))
+            yield finish(batch, hits)
+
+    return docs.mapInArrow(run, schema)
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` and its hit runs: ``__n_words``, ``__runs`` (flat word positions) and
+    ``__items`` (ids as strings)."""
+    schema = docs.select("*", F.lit(None).cast("long").alias("__n_words"), F.array().cast("array<long>").alias("__runs"), F.array().cast("array<string>").alias("__items")).schema
+
+    def add(batch, hits):
+        n_words, runs, items = zip(*hits) if hits else ([], [], [])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=schema.names)
+
+    return _streamed(docs, benchmark, window, schema, add)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -219,19 +225,13 @@ def cut_words(text: str, runs: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` without benchmark spans: a document whose hit words exceed
     ``max_coverage`` of its words goes; of the rest only the hit runs are cut."""
-    names = docs.columns
-    got = scanned(docs, benchmark, window)
-    schema = got.schema
+    at = docs.columns.index("text")
 
-    def cut(batches):
-        at = names.index("text")
-        for batch in batches:
-            runs = batch.column("__runs").to_pylist()
-            text = batch.column("text")
-            new = [cut_words(text[k].as_py(), r) if r else text[k].as_py() for k, r in enumerate(runs)]
-            keep = [k for k, (r, n) in enumerate(zip(runs, batch.column("__n_words").to_pylist())) if sum(r[1::2]) - sum(r[::2]) <= max_coverage * n]
-            arrays = [batch.column(i) for i in range(batch.num_columns)]
-            arrays[at] = pa.array(new, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).take(pa.array(keep, pa.int64()))
-
-    return got.mapInArrow(cut, schema).select(*[F.col(f"`{c}`") for c in names])
+    def cut(batch, hits):
+        text = batch.column("text")
+        arrays = list(batch.columns)
+        arrays[at] = pa.array([cut_words(text[k].as_py(), runs) if runs else text[k].as_py() for k, (_, runs, _) in enumerate(hits)], text.type)
+        keep = [k for k, (n, runs, _) in enumerate(hits) if sum(runs[1::2]) - sum(runs[::2]) <= max_coverage * n]
+        return pa.RecordBatch.from_arrays(arrays, names=batch.schema.names).take(pa.array(keep, pa.int64()))
+
+    return _streamed(docs, benchmark, window, docs.schema, cut)
