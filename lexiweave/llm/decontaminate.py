@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import arrow_rows, own_names, texts
 
 WINDOW = 10
-#: Item words in one broadcast automaton; larger benchmarks run as several passes.
+#: Item words in one broadcast automaton; a larger benchmark takes several, all held by each worker.
 BLOCK_WORDS = 250_000
 #: A document whose hit words exceed this share goes as a whole; else only its spans go.
 MAX_COVERAGE = 0.5
