@@ -12,10 +12,12 @@ position, is equal to it or has a similarity of ``SIMILARITY`` or more.
 Equal lines (128-bit hash) are one line from the first shuffle on.  The join
 goes in two rounds, so that a group of near copies is never paired with itself:
 first each line meets the first line of each token it shares; only those that
-this leaves unmatched meet the rest.  Tokens of one line drop out by count.
+this leaves unmatched meet the rest.  Tokens that one line alone holds drop out by
+count: a broadcast bit set of the others' hashes is looked up before any shuffle
+of lines.  Pairs must also differ in no more bits of the sets' parities than the
+similarity allows, so whole sets are cut for lines of the pairs left alone.
 
-Words are cut and hashed in Arrow batches; the joins are SQL.  The form in
-DataFrame functions alone cannot meet the limits (README has the figures).
+All of it is DataFrame functions.
 
 Results for odd input: null text counts as empty and stays null; blank lines
 always stay; lines are compared lower-cased and trimmed, words end at spaces, so
@@ -26,154 +28,98 @@ other; a null doc_id counts as larger than all others; an empty table stays empt
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, own_names, texts
+from .common import Scratch, own_names, texts
 
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Cells of the count sketch, as a power of two; its size is fixed.
 SKETCH_BITS = 16
-_LAST = np.iinfo(np.int64).max
-#: Bits of a token; the bits above them hold its class of rarity.
-_BITS = np.uint64(58)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class Tokens:
-    """Tokens of a batch of lines that are not blank, in order of the lines."""
-
-    def __init__(self, lines: list[str], keys: np.ndarray, shingle: int = SHINGLE):
-        x = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "replace") if lines else b"", np.uint8)
-        rng = np.random.default_rng(20_240_602)
-        table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        steps = rng.integers(1, 1 << 63, shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        ends = np.flatnonzero((x == 32) | (x == 10))
-        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64) if len(ends) else np.empty(0, np.int64)
-        base = np.uint64(0x9E3779B97F4A7C15)
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(table[x] * np.cumprod(np.full(len(x), base, np.uint64)), out=sums[1:])
-        back = np.cumprod(np.full(len(x) + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
-        words = _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-        last = np.flatnonzero(x[ends] == 10)
-        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else np.empty(0, np.int64)
-        size = np.maximum(last - first + 2 - shingle, 1)
-        self.line = np.repeat(np.arange(len(last)), size)
-        at = np.arange(len(self.line)) - np.repeat(np.cumsum(size) - size, size) + first[self.line]
-        top = len(words) - 1
-        whole = reduce(np.add, (words[np.minimum(at + k, top)] * steps[k] for k in range(shingle))) if len(at) else np.empty(0, np.uint64)
-        short = (last - first + 1 < shingle)[self.line]
-        self.token = _mix(np.where(short, keys[self.line], whole)) >> (np.uint64(64) - _BITS)
-
-    def ordered(self, classes: np.ndarray | None, n: int):
-        """(tokens without repeats by line and order, ends of the lines)."""
-        token = self.token
-        if classes is not None:
-            token = token | classes[(token >> (_BITS - np.uint64(SKETCH_BITS))).astype(np.int64)].astype(np.uint64) << _BITS
-        order = np.lexsort((token, self.line))
-        token, line = token[order], self.line[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
-        token = token[new] & ((np.uint64(1) << _BITS) - np.uint64(1))
-        return token.astype(np.int64), np.cumsum(np.bincount(line[new], minlength=n))
-
-
-def _read(batch: pa.RecordBatch, wanted: str | None = None):
-    """(row, position, normalised line) of a batch's lines that are not blank."""
-    places = batch.column(wanted).to_pylist() if wanted else None
-    for k, text in enumerate(batch.column("text")):
-        parts = text.as_py().lower().split("\n")
-        for p in range(len(parts)) if places is None else places[k]:
-            norm = parts[p].strip(" \t\r\x0b\x0c")
-            if norm:
-                yield k, p, norm
-
-
-def _keys(lines: list[str]) -> np.ndarray:
-    """Two 64-bit halves of each line's hash."""
-    import xxhash
-
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines), np.uint64).reshape(-1, 2)
-
-
-def _parts(batch: pa.RecordBatch, size: int = 1 << 21):
-    """Slices of a batch that hold about ``size`` bytes of text, one row at least."""
-    ends = np.cumsum([len(t) if t is not None else 0 for t in batch.column("text").cast(pa.binary()).to_pylist()] or [0])
-    a = 0
-    while a < batch.num_rows:
-        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
-        yield batch.slice(a, z - a)
-        a = z
-
-
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """Class of rarity of each cell: the power of two of its count, over all lines."""
+#: Bits of the broadcast bit sets, as powers of two: hashes of tokens and of documents.
+TOKEN_BITS, DOCUMENT_BITS = 26, 24
+#: Different tokens from which on a line has a second word of parities.
+LONG = 40
+_LAST = (1 << 63) - 1
+#: Bits of a token in a prefix: a meeting by chance costs a pair, which whole sets settle.
+_HEAD = (1 << 40) - 1
+
+
+def _text_lines(text: Column) -> Column:
+    """The lower-cased lines of a text."""
+    return F.split(F.lower(text), "\n", -1)
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
 
-    def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for part in _parts(batch):
-                lines = [x for _, _, x in _read(part)]
-                token = Tokens(lines, _keys(lines)[:, 0]).token
-                counts += np.bincount((token >> (_BITS - np.uint64(SKETCH_BITS))).astype(np.int64), minlength=len(counts))
-        cells = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
-
-    found = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.ones(1 << SKETCH_BITS, np.int64)
+def _shingle(i: Column) -> Column:
+    """Hash of the shingle at a place of ``words``."""
+    return F.xxhash64(*[F.col("words")[i + k] for k in range(SHINGLE)])
+
+
+def _starts() -> Column:
+    return F.sequence(F.lit(0), F.size("words") - SHINGLE)
+
+
+def _sketch(docs: DataFrame) -> Column:
+    """Class of rarity of each cell: the power of two of its count, over all lines."""
+    words = docs.select(F.explode(_text_lines(F.col("text"))).alias("line")).select(F.split(_trimmed(F.col("line")), " ").alias("words"))
+    at = words.where(F.size("words") >= SHINGLE).select("words", F.explode(_starts()).alias("i"))
+    found = at.groupBy(F.shiftrightunsigned(_shingle(F.col("i")), 64 - SKETCH_BITS).alias("cell")).count()
+    classes = ["0"] * (1 << SKETCH_BITS)
     for r in found.collect():
-        counts[r["cell"]] = r["n"]
-    return np.minimum(np.log2(counts).astype(np.uint8), 63)
-
-
-def _lines(docs: DataFrame, classes: np.ndarray, t: float) -> DataFrame:
-    """k1, k2 (hash of a line), d, th (of its text), p, n (different tokens) and heads
-    (its probe prefix, rarest first)."""
-    kind = "k1 long, k2 long, d long, th long, p int, n int, heads array<long>"
-
-    def run(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                rows = list(_read(part))
-                lines = [x for _, _, x in rows]
-                keys = _keys(lines)
-                token, ends = Tokens(lines, keys[:, 0]).ordered(classes, len(lines))
-                n = np.diff(np.concatenate([[0], ends]))
-                size = (n - np.ceil(t * n - 1e-9) + 1).astype(np.int64)
-                begin = np.cumsum(size) - size
-                at = np.arange(int(size.sum())) - np.repeat(begin, size) + np.repeat(ends - n, size)
-                heads = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [size.sum()]]), pa.int32()), pa.array(token[at]))
-                row = pa.array([k for k, _, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), part.column("d").take(row), part.column("th").take(row), pa.array([p for _, p, _ in rows], pa.int32()), pa.array(n, pa.int32()), heads], names=["k1", "k2", "d", "th", "p", "n", "heads"])
-
-    return docs.mapInArrow(run, kind)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, h (all tokens) of the wanted lines: (id, d, th, p)."""
-    asked = wanted.groupBy("d", "th").agg(F.sort_array(F.collect_list(F.struct("p", "id"))).alias("asked"))
-    asked = asked.select("d", "th", F.col("asked.p").alias("places"), F.col("asked.id").alias("ids"))
+        classes[r["cell"]] = str(min(int(math.log2(r["count"])), 31))
+    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
+
+
+def _lines(docs: DataFrame, classes: Column, t: float) -> DataFrame:
+    """k1, k2 (hash of a line), d, th (of its text), p, n (different tokens), s1, s2
+    (parities of all and of half of their hashes) and heads (its probe prefix, rarest first); a line of
+    fewer words than a shingle is like none but its copies and has an empty prefix."""
+    line = docs.select("d", "th", F.posexplode(_text_lines(F.col("text"))).alias("p", "line")).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
+    cut = line.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "d", "th", "p", F.split("line", " ").alias("words"))
+    hashes = F.when(F.size("words") >= SHINGLE, F.transform(_starts(), _shingle)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    order = lambda h: F.shiftleft(classes[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")].cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+    sets = cut.withColumn("h", hashes).withColumn("h", F.sort_array(F.array_distinct(F.transform("h", order)))).drop("words").withColumn("n", F.size("h"))
+    parity = lambda turn: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(turn(h)))
+    half = lambda h: _bit(h, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)))
+    size = F.when(F.col("n") > 0, F.col("n") - F.ceil(t * F.col("n") - 1e-9).cast("int") + 1).otherwise(0)
+    heads = F.transform(F.slice("h", F.lit(1), size), lambda h: h.bitwiseAND(F.lit(_HEAD)))
+    return sets.select("k1", "k2", "d", "th", "p", "n", parity(_bit).alias("s1"), F.when(F.col("n") >= LONG, parity(half)).otherwise(F.lit(0).cast("long")).alias("s2"), heads.alias("heads"))
+
+
+def _bit(x: Column, one: Column | None = None) -> Column:
+    """The bit that the low six bits of a number name, or ``one`` (1 or 0) in its place."""
+    return F.call_function("shiftleft", F.lit(1).cast("long") if one is None else one, x.bitwiseAND(F.lit(63)).cast("int"))
 
-    def run(batches):
-        for batch in batches:
-            for part in _parts(batch):
-                lines = [x for _, _, x in _read(part, "places")]
-                token, ends = Tokens(lines, _keys(lines)[:, 0]).ordered(None, len(lines))
-                ids = [i for row in part.column("ids").to_pylist() for i in row]
-                h = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), h], names=["id", "h"])
 
-    return docs.dropDuplicates(["d", "th"]).join(asked, ["d", "th"]).select("text", "places", "ids").mapInArrow(run, "id long, h array<long>")
+def _bits(cells: DataFrame, bits: int) -> DataFrame:
+    """word, set: a bit set of a column ``cell``, of which the low ``bits`` bits count."""
+    low = F.col("cell").bitwiseAND(F.lit((1 << bits) - 1))
+    return cells.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("set"))
+
+
+def _among(df: DataFrame, cell: Column, words: DataFrame, bits: int) -> DataFrame:
+    """Rows whose cell is in a bit set; others of its cell come along."""
+    low = F.shiftright(cell.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    found = df.join(F.broadcast(words), low == F.col("word")).where(F.col("set").bitwiseAND(_bit(cell)) != 0)
+    return found.select(*df.columns)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, h (all tokens) of the wanted lines: (id, d, th, p)."""
+    key = F.xxhash64("d", "th")
+    asked = scratch.write(wanted.groupBy("d", "th").agg(F.collect_list(F.struct("p", "id")).alias("asked")), "asked")
+    some = _among(docs, key, _bits(asked.select(key.alias("cell")), DOCUMENT_BITS), DOCUMENT_BITS)
+    rows = some.dropDuplicates(["d", "th"]).join(asked, ["d", "th"]).select(_text_lines(F.col("text")).alias("lines"), F.explode("asked").alias("a"))
+    words = rows.select("a.id", F.split(_trimmed(F.col("lines")[F.col("a.p")]), " ").alias("words"))
+    return words.select("id", F.array_distinct(F.transform(_starts(), _shingle)).alias("h"))
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -185,46 +131,51 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     """d (doc_id, null as the largest), th (hash of the text) and drop (positions
     of the lines that go, ascending) for each document that loses a line."""
     t = similarity
-    arrow_rows(docs.sparkSession)
     base = texts(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
     lines = scratch.write(_lines(base, _sketch(base), t), "lines")
     # One row for each different line, standing for its first place.
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "p", "th")).alias("at"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("heads").alias("heads"))
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "p", "th")).alias("at"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "s1", "s2", "heads")])
     different = scratch.write(first.withColumn("id", F.monotonically_increasing_id()), "different")
     lines, whole = scratch.write(lines.select("d", "th", "p", "k1", "k2"), "places"), lines
     scratch.drop(whole)
-    tokens = different.select("id", "n", F.col("at.d").alias("d"), F.col("at.p").alias("p"), F.posexplode("heads").alias("i", "token"))
+    tokens = different.select("id", "n", "s1", "s2", F.col("at.d").alias("d"), F.col("at.p").alias("p"), F.posexplode("heads").alias("i", "token"))
     # Of two lines the shorter holds the common token in its index prefix.
     index = lambda n, i: f"{i} <= {n} - {_need(t, n, n)}"
     held = tokens.select("token", F.expr(index("n", "i")).alias("own")).groupBy("token").agg(F.count("*").alias("held"), F.bool_or("own").alias("own"))
-    shared = scratch.write(tokens.join(held.where("held > 1 and own").select("token"), "token"), "shared")
-    places = shared.select("id").distinct().join(different.select("id", "at"), "id").select("id", "at.d", "at.th", "at.p")
-    sets = scratch.write(_sets(base, places), "sets")
+    common = scratch.write(_bits(held.where("held > 1 and own").select(F.col("token").alias("cell")), TOKEN_BITS), "common")
+    shared = scratch.write(_among(tokens, F.col("token"), common, TOKEN_BITS), "shared")
     fits = f"""least(x.n, y.n) >= {t!r} * greatest(x.n, y.n) - 1e-9
-        and 1 + least(x.n - 1 - x.i, y.n - 1 - y.i) >= {_need(t, 'x.n', 'y.n')}"""
+        and 1 + least(x.n - 1 - x.i, y.n - 1 - y.i) >= {_need(t, 'x.n', 'y.n')}
+        and if(x.n >= {LONG} and y.n >= {LONG}, bit_count(x.s2 ^ y.s2) + bit_count(x.s1 ^ x.s2 ^ y.s1 ^ y.s2), bit_count(x.s1 ^ y.s1))
+            <= x.n + y.n - 2 * {_need(t, 'x.n', 'y.n')}"""
     earlier = "(y.d < x.d or y.d = x.d and y.p < x.p)"
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: list[DataFrame], name: str) -> DataFrame:
         """id of the later line x of each similar pair (x, y)."""
+        near = scratch.write(reduce(DataFrame.union, pairs).distinct(), f"{name}-pairs")
+        wanted = near.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        sets = scratch.write(_sets(base, wanted.join(different, "id").select("id", "at.d", "at.th", "at.p"), scratch), f"{name}-sets")
         a, b = sets.toDF("x", "x_h"), sets.toDF("y", "y_h")
-        near = pairs.distinct().join(a, "x").join(b, "y")
-        return near.where(f"size(array_intersect(x_h, y_h)) >= {_need(t, 'size(x_h)', 'size(y_h)')}").select(F.col("x").alias("id")).distinct()
+        enough = f"size(array_intersect(x_h, y_h)) >= {_need(t, 'size(x_h)', 'size(y_h)')}"
+        out = scratch.write(near.join(a, "x").join(b, "y").where(enough).select(F.col("x").alias("id")).distinct(), name)
+        scratch.drop(near, sets)
+        return out
 
     pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
-    lead = shared.groupBy("token").agg(F.min(F.struct("d", "p", "id", "n", "i")).alias("f")).select("token", "f.*")
-    leading = shared.alias("x").join(lead.alias("y"), "token").where(earlier).where(fits).select(*pair)
-    matched = scratch.write(similar(leading), "matched")
+    lead = shared.groupBy("token").agg(F.min(F.struct("d", "p", "id", "n", "i", "s1", "s2")).alias("f")).select("token", "f.*")
+    matched = similar([shared.alias("x").join(lead.alias("y"), "token").where(earlier).where(fits).select(*pair)], "leading")
     left = scratch.write(shared.join(matched, "id", "left_anti"), "left")
     longer = left.alias("x").join(shared.where(index("n", "i")).alias("y"), "token").where("y.n <= x.n")
     shorter = left.where(index("n", "i")).alias("x").join(shared.alias("y"), "token").where("y.n > x.n")
-    more = [df.where(earlier).where(fits).select(*pair) for df in (longer, shorter)]
-    near = matched.union(similar(more[0].union(more[1]))).withColumn("near", F.lit(True))
+    rest = similar([df.where(earlier).where(fits).select(*pair) for df in (longer, shorter)], "rest")
+    scratch.drop(shared, left)
+    near = matched.union(rest).withColumn("near", F.lit(True))
     flagged = different.select("id", "k1", "k2", "at", "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     flagged = scratch.write(flagged, "flagged")
-    scratch.drop(different, shared, sets, left)
+    scratch.drop(different)
     gone = lines.join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
     out = scratch.write(gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("p")).alias("drop")), "drop")
-    scratch.drop(lines, matched, flagged)
+    scratch.drop(lines, matched, rest, flagged)
     return out
 
 
