@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiweave.llm import decontaminate, embeddings, html, language, lines, packing, pii, queries, secrets, simhash, substrings
 from lexiweave.llm.common import Scratch
@@ -452,6 +453,25 @@ def test_html_templates_by_definition(spark):
             assert got[i] == want
 
 
+def test_html_template_classes(spark):
+    def page(k):
+        moving = ["Left", "Right"] if k % 2 else ["Right", "Left"]
+        parts = ["Head", *(["Sale", "Offer"] if k else []), f"story {k}", "Middle", *(["Late"] if k else []), f"more {k}", "Twice", "Twice", *moving]
+        return "".join(f"<p>{x}</p>" for x in parts)
+
+    data = [(k, f"https://h.example/{k}", page(k)) for k in range(9)] + [(20, "https://h.example/copy", page(3))]
+    table = html.parsed(spark.createDataFrame(data, "page_id long, url string, html string")).withColumn("row", F.monotonically_increasing_id())
+    text = table.select("host", F.explode(F.arrays_zip("paths", "texts")).alias("b")).select("host", F.xxhash64("b.paths", "b.texts").alias("token"), F.col("b.texts").alias("text")).distinct()
+    got = {r.text: (r["class"], r.slot, r["rank"]) for r in html.templates(table).join(text, ["host", "token"]).collect()}
+    assert set(got) == {"Head", "Sale", "Offer", "Middle", "Late", "Twice", "Left", "Right"}
+    group = lambda x: {t for t in got if got[t][0] == got[x][0]}
+    assert group("Head") == {"Head", "Middle"} and group("Sale") == {"Sale", "Offer"}
+    assert all(group(x) == {x} for x in ("Late", "Twice", "Left", "Right"))
+    assert [got[x][1:] for x in ("Head", "Middle", "Sale", "Offer")] == [(0, 1), (1, 2), (1, 1), (1, 2)]
+    assert got["Late"][1:] == (2, 1)
+    assert got["Left"][1] is None and got["Right"][1] is None
+
+
 def test_html_template_slots(spark):
     page = lambda k: f"""<body><div class="top">Shop</div><div class="wrap"><div class="left">Sale now on</div>
     <div class="text"><p>{'story %d ' % k * 40}</p><p>{'more %d ' % k * 30}</p></div></div></body>"""
