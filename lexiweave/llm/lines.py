@@ -29,7 +29,6 @@ other; a null doc_id counts as larger than all others; an empty table stays empt
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,45 +57,63 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _words(line: Column) -> Column:
+    """Hashes of the words of a trimmed line."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
 def _shingle(i: Column) -> Column:
-    """Hash of the shingle at a place of ``words``."""
-    return F.xxhash64(*[F.col("words")[i + k] for k in range(SHINGLE)])
+    """Hash of the shingle at a place of ``words``: two pairs and the fifth word."""
+    w = [F.col("words")[i + k] for k in range(SHINGLE)]
+    return _pair(_pair(_pair(w[0], w[1]), _pair(w[2], w[3])), w[4])
 
 
-def _starts() -> Column:
-    return F.sequence(F.lit(0), F.size("words") - SHINGLE)
+def _shingles(df: DataFrame) -> DataFrame:
+    """``df`` with ``h``, the hashes of all shingles of ``words``, in its place: whole arrays
+    are paired, which costs less than five look-ups for each place."""
+    size = F.greatest(F.size("words") - (SHINGLE - 1), F.lit(0))
+    at = lambda c, start, more=0: F.slice(c, F.lit(start), F.col("_size") + more)
+    pairs = df.withColumn("_size", size).withColumn("_two", F.zip_with(at("words", 1, 2), at("words", 2, 2), _pair))
+    out = pairs.withColumn("h", F.zip_with(F.zip_with(at("_two", 1), at("_two", 3), _pair), at("words", 5), _pair))
+    return out.drop("words", "_size", "_two")
 
 
 def _sketch(docs: DataFrame) -> Column:
-    """Class of rarity of each cell: the power of two of its count, over all lines."""
-    words = docs.select(F.explode(_text_lines(F.col("text"))).alias("line")).select(F.split(_trimmed(F.col("line")), " ").alias("words"))
-    at = words.where(F.size("words") >= SHINGLE).select("words", F.explode(_starts()).alias("i"))
+    """Class of rarity of each cell: the power of two of its count, over all lines, as the
+    highest bits of a token."""
+    words = docs.select(F.explode(_text_lines(F.col("text"))).alias("line")).select(_words(_trimmed(F.col("line"))).alias("words"))
+    # No filter on the number of words: it would go below the cut, and lines would be cut twice.
+    at = words.select("words", F.explode(F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE))).alias("i"))
     found = at.groupBy(F.shiftrightunsigned(_shingle(F.col("i")), 64 - SKETCH_BITS).alias("cell")).count()
     classes = ["0"] * (1 << SKETCH_BITS)
     for r in found.collect():
-        classes[r["cell"]] = str(min(int(math.log2(r["count"])), 31))
-    return F.split(F.lit(",".join(classes)), ",").cast("array<int>")
+        classes[r["cell"]] = str(min(int(math.log2(r["count"])), 31) << 58)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
 def _lines(docs: DataFrame, classes: Column, t: float) -> DataFrame:
-    """k1, k2 (hash of a line), d, th (of its text), p, n (different tokens), s1, s2
+    """id, k1, k2 (hash of a line), d, th (of its text), p, n (different tokens), s1, s2
     (parities of all and of half of their hashes) and heads (its probe prefix, rarest first); a line of
     fewer words than a shingle is like none but its copies and has an empty prefix."""
     line = docs.select("d", "th", F.posexplode(_text_lines(F.col("text"))).alias("p", "line")).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    cut = line.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "d", "th", "p", F.split("line", " ").alias("words"))
-    hashes = F.when(F.size("words") >= SHINGLE, F.transform(_starts(), _shingle)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    order = lambda h: F.shiftleft(classes[F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")].cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-    sets = cut.withColumn("h", hashes).withColumn("h", F.sort_array(F.array_distinct(F.transform("h", order)))).drop("words").withColumn("n", F.size("h"))
-    parity = lambda turn: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(turn(h)))
-    half = lambda h: _bit(h, F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(1)))
+    cut = _shingles(line.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "d", "th", "p", _words(F.col("line")).alias("words")))
+    # Never null, so arrays sort as plain numbers.
+    order = lambda h: F.coalesce(classes[F.shiftrightunsigned(h, 64 - SKETCH_BITS)], F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 6))
+    sets = cut.withColumn("h", F.sort_array(F.array_distinct(F.transform("h", order)))).withColumn("n", F.size("h"))
+    parity = lambda one: F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", one(h), F.hash(h))))
+    all_ones, half = lambda h: F.lit(1).cast("long"), lambda h: h.bitwiseAND(F.lit(1).cast("long"))
     size = F.when(F.col("n") > 0, F.col("n") - F.ceil(t * F.col("n") - 1e-9).cast("int") + 1).otherwise(0)
     heads = F.transform(F.slice("h", F.lit(1), size), lambda h: h.bitwiseAND(F.lit(_HEAD)))
-    return sets.select("k1", "k2", "d", "th", "p", "n", parity(_bit).alias("s1"), F.when(F.col("n") >= LONG, parity(half)).otherwise(F.lit(0).cast("long")).alias("s2"), heads.alias("heads"))
+    return sets.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "d", "th", "p", "n", parity(all_ones).alias("s1"), F.when(F.col("n") >= LONG, parity(half)).otherwise(F.lit(0).cast("long")).alias("s2"), heads.alias("heads"))
 
 
-def _bit(x: Column, one: Column | None = None) -> Column:
-    """The bit that the low six bits of a number name, or ``one`` (1 or 0) in its place."""
-    return F.call_function("shiftleft", F.lit(1).cast("long") if one is None else one, x.bitwiseAND(F.lit(63)).cast("int"))
+def _bit(x: Column) -> Column:
+    """The bit that the low six bits of a number name."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _bits(cells: DataFrame, bits: int) -> DataFrame:
@@ -105,11 +122,11 @@ def _bits(cells: DataFrame, bits: int) -> DataFrame:
     return cells.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(_bit(F.col("cell"))).alias("set"))
 
 
-def _among(df: DataFrame, cell: Column, words: DataFrame, bits: int) -> DataFrame:
-    """Rows whose cell is in a bit set; others of its cell come along."""
+def _among(df: DataFrame, cell: Column, words: DataFrame, bits: int, inside: bool = True) -> DataFrame:
+    """Rows whose cell is in a bit set (others of its cell come along), or the rest of the rows."""
     low = F.shiftright(cell.bitwiseAND(F.lit((1 << bits) - 1)), 6)
-    found = df.join(F.broadcast(words), low == F.col("word")).where(F.col("set").bitwiseAND(_bit(cell)) != 0)
-    return found.select(*df.columns)
+    hit = F.coalesce(F.col("set").bitwiseAND(_bit(cell)) != 0, F.lit(False))
+    return df.join(F.broadcast(words), low == F.col("word"), "inner" if inside else "left").where(hit if inside else ~hit).select(*df.columns)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -117,9 +134,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     key = F.xxhash64("d", "th")
     asked = scratch.write(wanted.groupBy("d", "th").agg(F.collect_list(F.struct("p", "id")).alias("asked")), "asked")
     some = _among(docs, key, _bits(asked.select(key.alias("cell")), DOCUMENT_BITS), DOCUMENT_BITS)
-    rows = some.dropDuplicates(["d", "th"]).join(asked, ["d", "th"]).select(_text_lines(F.col("text")).alias("lines"), F.explode("asked").alias("a"))
-    words = rows.select("a.id", F.split(_trimmed(F.col("lines")[F.col("a.p")]), " ").alias("words"))
-    return words.select("id", F.array_distinct(F.transform(_starts(), _shingle)).alias("h"))
+    rows = some.join(asked, ["d", "th"]).select(_text_lines(F.col("text")).alias("lines"), F.explode("asked").alias("a"))
+    # Rows that repeat an id and a text give a line again.
+    line = rows.select("a.id", F.col("lines")[F.col("a.p")].alias("line")).dropDuplicates(["id"])
+    cut = _shingles(line.select("id", _words(_trimmed(F.col("line"))).alias("words")))
+    return cut.select("id", F.array_distinct("h").alias("h"))
 
 
 def _need(t: float, a: str, b: str) -> str:
@@ -133,12 +152,13 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
     t = similarity
     base = texts(docs).select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("th"), "text")
     lines = scratch.write(_lines(base, _sketch(base), t), "lines")
-    # One row for each different line, standing for its first place.
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "p", "th")).alias("at"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "s1", "s2", "heads")])
-    different = scratch.write(first.withColumn("id", F.monotonically_increasing_id()), "different")
-    lines, whole = scratch.write(lines.select("d", "th", "p", "k1", "k2"), "places"), lines
-    scratch.drop(whole)
-    tokens = different.select("id", "n", "s1", "s2", F.col("at.d").alias("d"), F.col("at.p").alias("p"), F.posexplode("heads").alias("i", "token"))
+    # One row for each different line, standing for its first place; lines whose hash comes once are that as they are.
+    again = scratch.write(_bits(lines.groupBy("k1").count().where("count > 1").select(F.col("k1").alias("cell")), TOKEN_BITS), "again")
+    repeated = _among(lines, F.col("k1"), again, TOKEN_BITS).groupBy("k1", "k2")
+    first = repeated.agg(F.min(F.struct("d", "p", "th", "id")).alias("at"), F.count("*").alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "s1", "s2", "heads")])
+    first = scratch.write(first.select("at.id", "k1", "k2", "at.d", "at.th", "at.p", "n", "s1", "s2", "heads", "copies"), "first")
+    different = _among(lines, F.col("k1"), again, TOKEN_BITS, inside=False).withColumn("copies", F.lit(1).cast("long")).unionByName(first)
+    tokens = different.select("id", "n", "s1", "s2", "d", "p", F.posexplode("heads").alias("i", "token"))
     # Of two lines the shorter holds the common token in its index prefix.
     index = lambda n, i: f"{i} <= {n} - {_need(t, n, n)}"
     held = tokens.select("token", F.expr(index("n", "i")).alias("own")).groupBy("token").agg(F.count("*").alias("held"), F.bool_or("own").alias("own"))
@@ -150,11 +170,11 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
             <= x.n + y.n - 2 * {_need(t, 'x.n', 'y.n')}"""
     earlier = "(y.d < x.d or y.d = x.d and y.p < x.p)"
 
-    def similar(pairs: list[DataFrame], name: str) -> DataFrame:
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
         """id of the later line x of each similar pair (x, y)."""
-        near = scratch.write(reduce(DataFrame.union, pairs).distinct(), f"{name}-pairs")
+        near = scratch.write(pairs.distinct(), f"{name}-pairs")
         wanted = near.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        sets = scratch.write(_sets(base, wanted.join(different, "id").select("id", "at.d", "at.th", "at.p"), scratch), f"{name}-sets")
+        sets = scratch.write(_sets(base, different.join(wanted, "id").select("id", "d", "th", "p"), scratch), f"{name}-sets")
         a, b = sets.toDF("x", "x_h"), sets.toDF("y", "y_h")
         enough = f"size(array_intersect(x_h, y_h)) >= {_need(t, 'size(x_h)', 'size(y_h)')}"
         out = scratch.write(near.join(a, "x").join(b, "y").where(enough).select(F.col("x").alias("id")).distinct(), name)
@@ -163,19 +183,18 @@ def removals(docs: DataFrame, scratch: Scratch, similarity: float = SIMILARITY)
 
     pair = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
     lead = shared.groupBy("token").agg(F.min(F.struct("d", "p", "id", "n", "i", "s1", "s2")).alias("f")).select("token", "f.*")
-    matched = similar([shared.alias("x").join(lead.alias("y"), "token").where(earlier).where(fits).select(*pair)], "leading")
-    left = scratch.write(shared.join(matched, "id", "left_anti"), "left")
-    longer = left.alias("x").join(shared.where(index("n", "i")).alias("y"), "token").where("y.n <= x.n")
-    shorter = left.where(index("n", "i")).alias("x").join(shared.alias("y"), "token").where("y.n > x.n")
-    rest = similar([df.where(earlier).where(fits).select(*pair) for df in (longer, shorter)], "rest")
-    scratch.drop(shared, left)
+    matched = similar(shared.alias("x").join(lead.alias("y"), "token").where(earlier).where(fits).select(*pair), "leading")
+    left = shared.join(matched, "id", "left_anti")
+    # The shorter one's place is one of its index prefix.
+    meets = f"if(y.n <= x.n, {index('y.n', 'y.i')}, {index('x.n', 'x.i')})"
+    rest = similar(left.alias("x").join(shared.alias("y"), "token").where(meets).where(earlier).where(fits).select(*pair), "rest")
+    scratch.drop(shared, common)
     near = matched.union(rest).withColumn("near", F.lit(True))
-    flagged = different.select("id", "k1", "k2", "at", "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    flagged = different.select("id", "k1", "k2", F.struct("d", "p").alias("at"), "copies").join(near, "id", "left").where("near or copies > 1").select("k1", "k2", "at", F.coalesce("near", F.lit(False)).alias("near"))
     flagged = scratch.write(flagged, "flagged")
-    scratch.drop(different)
-    gone = lines.join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
+    gone = lines.select("k1", "k2", "d", "th", "p").join(flagged, ["k1", "k2"]).where("near or not (at.d = d and at.p = p)")
     out = scratch.write(gone.groupBy("d", "th").agg(F.sort_array(F.collect_set("p")).alias("drop")), "drop")
-    scratch.drop(lines, matched, rest, flagged)
+    scratch.drop(lines, first, again, matched, rest, flagged)
     return out
 
 

@@ -349,6 +349,25 @@ def test_lines_cut_few_sets(spark, monkeypatch):
     assert 2 <= written["sets"] <= 4
 
 
+def test_lines_deal_few_rows(spark, monkeypatch):
+    rng = random.Random(23)
+    once = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    data = [(k, f"{once[k]}\na line that {k % 2} of them hold again") for k in range(40)] + [(40, once[0] + " end"), (41, "end " + once[0] + " end")]
+    written, write = {}, lines.Scratch.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        written[name] = (out.count(), df.schema)
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "write", spy)
+    got = {r.doc_id: r.n_removed for r in lines.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: int(k >= 2) for k in range(42)}
+    # Only lines that come again are gathered by their hash; tokens are plain numbers, which sort without comparing objects.
+    assert written["lines"][0] == 82 and written["first"][0] == 2
+    assert not written["lines"][1]["heads"].dataType.containsNull
+
+
 def simhash_of(text):
     import xxhash
 
